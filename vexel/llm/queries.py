@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexel.llm import bpe, chat, exact, mix, simhash
+from vexel.llm import ann, bpe, chat, exact, langid, lines, mix, quality, simhash, suffix
 from vexel.llm.common import table
 
 
-def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
@@ -43,8 +43,33 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.rates(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the sample keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.keep(docs, table(spark, sf_dir, "labels"), "log_weight").select("doc_id", "log_weight", F.lit(True).alias("kept"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), _tokenizer())
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +77,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_mixing, op5_bpe, op9_simhash)}
+    every = (
+        op1_chat_formatting, op2_exact_dedup, op3_mixing, op4_language_id, op5_bpe,
+        op6_suffix_dedup, op7_line_dedup, op8_quality, op9_simhash, op10_nearest_neighbours,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP1 = """
