@@ -25,10 +25,10 @@ from vexel.llm.graph import connected_components
 
 SEED = 42
 BITS = 64
-#: Fingerprints that a worker expands at once (about 560 variants of 10 bytes each on average).
+#: Fingerprints that a worker expands at once (about 560 variants of 8 bytes each on average).
 STEP = 2048
 #: Variants in a bucket, about.
-BUCKET_ROWS = 1 << 19
+BUCKET_ROWS = 1 << 17
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -86,7 +86,17 @@ def _masks():
     return np.array([0, *bit, *two], np.uint64), 1 + BITS
 
 
-def expand(buckets: int):
+#: Odd multiplier that spreads variants over buckets, and its inverse modulo 2^64.
+SPREAD = 0x9E3779B97F4A7C15
+GATHER = pow(SPREAD, -1, 1 << 64)
+#: Bits of a flip mask's number; a bucket's number takes as many bits of the spread variant at least.
+CODE = 11
+
+
+def expand(bits: int):
+    """Variants by bucket, the top ``bits`` bits of the spread variant. An entry packs the other bits and the mask's number
+    in 8 bytes; entries are sorted and stored byte by byte, which lets their leading bytes compress."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -97,66 +107,71 @@ def expand(buckets: int):
                 fps = every[at : at + STEP]
                 even = fps[np.bitwise_count(fps) % 2 == 0]
                 variants = np.concatenate([(fps[:, None] ^ masks[:near]).ravel(), (even[:, None] ^ masks[near:]).ravel()])
-                codes = np.concatenate([np.tile(np.arange(near, dtype=np.uint16), len(fps)), np.tile(np.arange(near, len(masks), dtype=np.uint16), len(even))])
-                bucket = ((variants * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-                bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                variants, codes, bucket = variants[order], codes[order], bucket[order]
+                codes = np.concatenate([np.tile(np.arange(near, dtype=np.uint64), len(fps)), np.tile(np.arange(near, len(masks), dtype=np.uint64), len(even))])
+                variants *= np.uint64(SPREAD)
+                order = np.argsort(variants)
+                variants, codes = variants[order], codes[order]
+                bucket = variants >> np.uint64(64 - bits)
+                packed = (variants << np.uint64(bits)) >> np.uint64(bits) << np.uint64(CODE) | codes
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
-                starts, stops = np.r_[0, cuts], np.r_[cuts, len(bucket)]
-                blobs = [variants[a:b].tobytes() + codes[a:b].tobytes() for a, b in zip(starts, stops)]
+                starts, stops = np.append(0, cuts), np.append(cuts, len(bucket))
+                blobs = [packed[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(starts, stops)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links u, v from rows sorted by bucket: one bucket in memory at a time."""
+def meet(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links u, v from rows sorted by bucket: one bucket in memory at a time."""
+        held, now = [], None
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                if bucket != now and held:
+                    yield links(now, held, bits)
+                    held = []
+                now = bucket
+                held.append(blob)
+        if held:
+            yield links(now, held, bits)
+
+    return run
+
+
+def links(bucket: int, blobs: list[bytes], bits: int) -> pa.RecordBatch:
+    """Links between fingerprints that meet in a variant of this bucket."""
     import numpy as np
 
     masks, near = _masks()
-
-    def links(blobs: list[bytes]) -> pa.RecordBatch:
-        sizes = [len(b) // 10 for b in blobs]
-        z = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes)])
-        code = np.concatenate([np.frombuffer(b, np.uint16, n, 8 * n) for b, n in zip(blobs, sizes)])
-        order = np.argsort(z, kind="stable")
-        z, code = z[order], code[order]
-        new = np.r_[True, z[1:] != z[:-1]]
-        group = np.cumsum(new) - 1
-        shared = (np.bincount(group) > 1)[group]
-        z, code, group = z[shared], code[shared], group[shared]
-        # the centre of a group: its member with the fewest flips, as codes ascend with the number of flips
-        by = np.lexsort((code, group))
-        z, code, group = z[by], code[by], group[by]
-        first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
-        centre = np.flatnonzero(first)[np.cumsum(first) - 1] if len(group) else np.zeros(0, int)
-        fp = z ^ masks[code]
-        u, v = fp, fp[centre]
-        near_enough = (np.bitwise_count(u ^ v) <= 3) & (u != v) & (code[centre] < near)
-        pair = np.unique(np.stack([u[near_enough], v[near_enough]], 1), axis=0).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
-
-    held, now = [], None
-    for batch in batches:
-        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-            if bucket != now and held:
-                yield links(held)
-                held = []
-            now = bucket
-            held.append(blob)
-    if held:
-        yield links(held)
+    packed = np.concatenate([np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel() for b in blobs])
+    code = (packed & np.uint64((1 << CODE) - 1)).astype(np.int64)
+    z = ((packed >> np.uint64(CODE)) | np.uint64(bucket << (64 - bits))) * np.uint64(GATHER)
+    order = np.argsort(z, kind="stable")
+    z, code = z[order], code[order]
+    new = np.r_[True, z[1:] != z[:-1]]
+    group = np.cumsum(new) - 1
+    shared = (np.bincount(group) > 1)[group]
+    z, code, group = z[shared], code[shared], group[shared]
+    # the centre of a group: its member with the fewest flips, as codes ascend with the number of flips
+    by = np.lexsort((code, group))
+    z, code, group = z[by], code[by], group[by]
+    first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+    centre = np.flatnonzero(first)[np.cumsum(first) - 1] if len(group) else np.zeros(0, int)
+    fp = z ^ masks[code]
+    u, v = fp, fp[centre]
+    near_enough = (np.bitwise_count(u ^ v) <= 3) & (u != v) & (code[centre] < near)
+    pair = np.unique(np.stack([u[near_enough], v[near_enough]], 1), axis=0).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
 
 def components(fps: DataFrame) -> DataFrame:
     """fp, component_id for every different fingerprint of fps (doc_id, fp)."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n = distinct.count()
-    buckets = max(1, n * 560 // BUCKET_ROWS, min(n, 64))
-    met = distinct.select("fp").repartition("fp").mapInArrow(expand(buckets), "bucket long, blob binary")
-    links = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long")
-    roots = connected_components(links)
+    bits = max(CODE, (n * 560 // BUCKET_ROWS).bit_length())
+    met = distinct.select("fp").repartition("fp").mapInArrow(expand(bits), "bucket long, blob binary")
+    linked = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet(bits), "u long, v long")
+    roots = connected_components(linked)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
