@@ -27,7 +27,7 @@ def main() -> None:
     # the same vectors shifted a little, many times over: enough rows for full row groups and the default clusters
     copies = 60
     n = df.count()
-    wide = df.crossJoin(spark.range(copies)).select((F.col("vec_id") + F.col("id") * n).alias("vec_id"), F.transform("embedding", lambda x, i: (x + (F.pmod(F.xxhash64("vec_id", "id", i), F.lit(1000)) / 5000.0)).cast("float")).alias("embedding"))
+    wide = df.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((F.col("vec_id") + F.col("id") * n).alias("vec_id"), F.transform("embedding", lambda x, i: (x + (F.pmod(F.xxhash64("vec_id", "id", i), F.lit(1000)) / 5000.0)).cast("float")).alias("embedding"))
     path = f"{e.registry.root}/wide"
     wide.repartition(int(cpus)).write.parquet(path)
     e.register_table("wide", spark.read.parquet(path), "vec_id")

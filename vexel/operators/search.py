@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,28 +128,47 @@ def rejoin(plan: SearchPlan, best: DataFrame) -> DataFrame:
     return ordered.offset(plan.offset) if plan.offset else ordered
 
 
-def cluster_ranks(spark: SparkSession, plan: SearchPlan, query: np.ndarray) -> DataFrame:
+@lru_cache(maxsize=8)
+def driver_centroids(spark: SparkSession, path: str, created: int):
+    """Row groups, clusters and centroids of an index that has RANKED_ON_DRIVER clusters at most; indexes never change."""
+    rows = spark.read.parquet(f"{path}/centroids").select("row_group_id", "cluster_id", "centroid").toPandas()
+    return rows["row_group_id"].to_numpy(), rows["cluster_id"].to_numpy(), np.stack(rows["centroid"])
+
+
+def ranked_on_driver(spark: SparkSession, plan: SearchPlan, query: np.ndarray) -> pd.DataFrame:
     """row_group_id, cluster_id, rank from 0: clusters of each row group by distance of their centroid."""
-    centroids = spark.read.parquet(f"{plan.path}/centroids")
-    if plan.index["clusters"] <= RANKED_ON_DRIVER:
-        rows = centroids.select("row_group_id", "cluster_id", "centroid").toPandas()
-        rows["d"] = kernels.squared(np.stack(rows["centroid"]), query)
-        rows = rows.sort_values(["row_group_id", "d", "cluster_id"])
-        rows["rank"] = rows.groupby("row_group_id").cumcount()
-        return spark.createDataFrame(rows[["row_group_id", "cluster_id", "rank"]], "row_group_id long, cluster_id int, rank long")
+    group, cluster, centroids = driver_centroids(spark, plan.path, plan.index["created"])
+    rows = pd.DataFrame({"row_group_id": group, "cluster_id": cluster, "d": kernels.squared(centroids, query)})
+    rows = rows.sort_values(["row_group_id", "d", "cluster_id"])
+    rows["rank"] = rows.groupby("row_group_id").cumcount()
+    return rows[["row_group_id", "cluster_id", "rank"]]
+
+
+def ranked(spark: SparkSession, plan: SearchPlan, query: np.ndarray) -> DataFrame:
+    """The same as a distributed window, for indexes of any size."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    measured = centroids.withColumn("d", BY_METRIC["l2sq"](F.col("centroid"), q))
+    measured = spark.read.parquet(f"{plan.path}/centroids").withColumn("d", BY_METRIC["l2sq"](F.col("centroid"), q))
     order = Window.partitionBy("row_group_id").orderBy("d", "cluster_id")
     return measured.select("row_group_id", "cluster_id", (F.row_number().over(order) - 1).cast("long").alias("rank"))
 
 
-def probed(codes: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
-    """Codes of clusters with a rank below n; the clusters' numbers are pushed to the scan where they are few."""
-    wanted = ranks.where(F.col("rank") < n)
-    few = [r[0] for r in wanted.select("cluster_id").distinct().limit(PUSHED + 1).collect()]
-    if len(few) <= PUSHED:
+def with_ranks(spark: SparkSession, plan: SearchPlan, query: np.ndarray, codes: DataFrame, below: int | None) -> DataFrame:
+    """codes with the rank of their cluster, less those of rank ``below`` and up.
+
+    Clusters ranked on the driver are few (RANKED_ON_DRIVER), so their table is broadcast, and row groups and clusters
+    go to the scan as well where they make a short list.
+    """
+    if plan.index["clusters"] > RANKED_ON_DRIVER:
+        ranks = ranked(spark, plan, query)
+        return codes.join(ranks if below is None else ranks.where(F.col("rank") < below), ["row_group_id", "cluster_id"])
+    ranks = ranked_on_driver(spark, plan, query)
+    ranks = ranks if below is None else ranks[ranks["rank"] < below]
+    few = sorted(set(ranks["cluster_id"].tolist()))
+    if below is not None and len(few) <= PUSHED:
         codes = codes.where(F.col("cluster_id").isin(few))
-    return codes.join(wanted.select("row_group_id", "cluster_id"), ["row_group_id", "cluster_id"])
+    if below is not None and plan.index["row_groups"] == 1 and len(few) <= PUSHED:
+        return codes
+    return codes.join(F.broadcast(spark.createDataFrame(ranks, "row_group_id long, cluster_id int, rank long")), ["row_group_id", "cluster_id"])
 
 
 def code_top(query: np.ndarray, u8: bool, k: int):
@@ -199,18 +220,17 @@ def indexed(plan: SearchPlan) -> DataFrame:
     first = MOST_CLUSTERS if plan.n_probe == 0 or plan.n_probe > MOST_CLUSTERS else plan.n_probe
     every = plan.n_probe == 0
     u8 = meta["quantization"] == "u8"
-    ranks = None if every else cluster_ranks(spark, plan, query)
     if plan.predicate is None:
-        found = codes if every else probed(codes, ranks, first)
+        found = codes if every else with_ranks(spark, plan, query, codes, first)
     else:
         passing = plan.table.where(plan.predicate).select(F.col(plan.key).alias("row_id"))
         found = codes.join(passing, "row_id", "left_semi")
         if not every:
             number = F.when(F.col("rank") < first, 0).otherwise(1 + F.floor((F.col("rank") - first) / ROUND))
-            ranked = found.join(ranks, ["row_group_id", "cluster_id"]).withColumn("round", number.cast("long"))
-            counts = ranked.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()
+            numbered = with_ranks(spark, plan, query, found, None).withColumn("round", number.cast("long"))
+            counts = numbered.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()
             stop = last_round([(r["round"], r["n"]) for r in counts], k)
-            found = ranked if stop is None else ranked.where(F.col("round") <= stop)
+            found = numbered if stop is None else numbered.where(F.col("round") <= stop)
     best = found.select("row_id", "q_base", "q_scale", "code").mapInArrow(code_top(query, u8, k), "row_id long, distance double")
     return rejoin(plan, best.orderBy("distance", "row_id").limit(k))
 
