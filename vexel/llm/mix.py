@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vexel.llm.common import cut
+from vexel.llm.common import cut, fresh
 
 #: Fixed values of the contract: weights by rank of source, repeating, and the most copies of a source.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -47,21 +47,24 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return filled.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * water).cast("double").alias("target"))
 
 
-def rates(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """docs with size, source_size, target, copies."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    goals = goals.select(F.col("source").alias("__source"), "source_size", "target")
+def rates(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, names: tuple[str, ...] = ("size", "source_size", "target", "copies")) -> DataFrame:
+    """docs with columns of these names on end: words, words of the source, target of the source, copies taken."""
+    size, source_size, target, copies = names
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    goals = cut(targets(sized.groupBy("source").agg(F.sum(size).alias("source_size")), weights, most))
+    (own,) = fresh(sized, "source")
+    goals = goals.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target))
     if goals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)
-    joined = sized.join(goals, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+    joined = sized.join(goals, sized["source"].eqNullSafe(goals[own])).drop(own)
+    rate = F.when(F.col(source_size) > 0, F.least(F.lit(most), F.col(target) / F.col(source_size))).otherwise(F.lit(0.0))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), 11).cast("double") / F.lit(float(1 << 53))
-    return joined.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    return joined.withColumn(copies, (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """The mixture: the rows of docs, each as often as it was taken."""
-    taken = rates(docs, weights, most).where("copies > 0")
-    once = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return once.select(*docs.columns)
+    *names, number = fresh(docs, "size", "source_size", "target", "copies", "number")
+    taken = rates(docs, weights, most, tuple(names))
+    once = taken.where(F.col(names[3]) > 0).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[3]))))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

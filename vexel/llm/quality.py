@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import column_buffers, cut, text_chunks
+from vexel.llm.common import column_buffers, cut, fresh, text_chunks
 
 #: Cells for trigrams; two more count pairs of equal and of different words.
 CELLS = 1 << 16
@@ -147,9 +147,7 @@ def keep(docs: DataFrame, labels: DataFrame, name: str | None = None) -> DataFra
 
     labels: doc_id, quality (0 or 1).
     """
-    own = "__weight"
-    while own in docs.columns:
-        own += "_"
+    (own,) = fresh(docs, "weight")
     named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") > 0).cast("int").alias("quality"))
     named = named.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     numbers = {r["quality"]: r["n"] for r in named.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
