@@ -146,7 +146,7 @@ def test_statements(engine):
     row = engine.sql("CALL my_index_info()").first()
     assert (row["index_name"], row["metric"], row["num_dimensions"], row["n_probe"], row["seed"], row["is_normalized"]) == ("a1", "cosine", 24, 128, 0, True)
     assert row["approx_lower_bound_memory_usage_bytes"] >= 1200 * 24 * 4
-    assert engine.sql("FROM duck_indexes()").count() == 1
+    assert engine.sql("FROM all_indexes()").count() == 1
     # a later session finds the index
     assert Engine(engine.spark, engine.registry.root).registry.find("t", "emb", "cosine")["index_name"] == "a1"
     engine.sql("DROP INDEX a1")
