@@ -22,6 +22,8 @@ from vexel.plans.options import MAX_DIMENSIONS, IndexError_, IndexOptions, clust
 
 #: Share of a row group's rows that train its centroids, rows from which only this share is used, and bytes at most.
 SAMPLE, ALL_BELOW, SAMPLE_BYTES = 0.3, 30_720, 512 << 20
+#: Columns of the table of codes; given to readers, it saves them a look at the files.
+CODES = "row_group_id long, cluster_id int, row_id long, q_base double, q_scale double, code binary"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -129,7 +131,7 @@ def assign(rows: DataFrame, groups: DataFrame, centroids: DataFrame, options: In
                     names=["row_group_id", "cluster_id", "row_id", "q_base", "q_scale", "code"],
                 )
 
-    return stream.mapInArrow(run, "row_group_id long, cluster_id int, row_id long, q_base double, q_scale double, code binary")
+    return stream.mapInArrow(run, CODES)
 
 
 def build(base: DataFrame, path: str, options: IndexOptions) -> dict:

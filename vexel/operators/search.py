@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vexel.functions.codec import constant
 from vexel.functions.distance import BY_METRIC
 from vexel.operators import kernels
-from vexel.operators.build import matrix
+from vexel.operators.build import CODES, matrix
 from vexel.plans.options import MOST_CLUSTERS, ROUND
 
 #: Inputs below this many bytes are scanned by JVM expressions, larger ones by Arrow batches.
@@ -215,7 +215,7 @@ def indexed(plan: SearchPlan) -> DataFrame:
     spark = plan.table.sparkSession
     meta = plan.index
     query = kernels.prepared(plan.query[None], meta["metric"], meta["seed"], meta["rotate"])[0]
-    codes = spark.read.parquet(f"{plan.path}/codes")
+    codes = spark.read.schema(CODES).parquet(f"{plan.path}/codes")
     k = plan.k + plan.offset
     first = MOST_CLUSTERS if plan.n_probe == 0 or plan.n_probe > MOST_CLUSTERS else plan.n_probe
     every = plan.n_probe == 0
