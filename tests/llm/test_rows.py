@@ -127,6 +127,34 @@ def test_near_fingerprints_are_complete(spark):
     assert got == {(a, b) for a in fps for b in fps if a < b and bin((a ^ b) % (1 << 64)).count("1") <= 3}
 
 
+def test_near_fingerprints_of_a_large_family(spark):
+    """A family far beyond PAIRED gives every pair within the radius."""
+    rng = random.Random(13)
+    f = rng.getrandbits(63)
+    fps = {f} | {f ^ 1 << rng.randrange(26, 63) ^ 1 << rng.randrange(26, 63) for _ in range(400)}
+    got = {(r["a"], r["b"]) for r in lines.near_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    assert len(fps) >= 300 and got == {(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 3}
+
+
+def test_edits_count_in_characters(spark):
+    """Candidates are verified by characters: a changed letter in a short line and a respaced word are small edits."""
+    rows = ["invoice number 4711", "invoice number 4712", "some where over the rainbow", "somewhere over the rainbow", "quite another line"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    key = {r["norm"]: (r["k1"], r["k2"]) for r in lines.exploded(df).collect()}
+    pairs = [(key[rows[a]], key[rows[b]]) for a, b in ((0, 1), (2, 3), (0, 4))]
+    got = lines.verified(df, spark.createDataFrame(pairs, "u struct<k1 long, k2 long>, v struct<k1 long, k2 long>"), 0.8).collect()
+    assert {(tuple(r["u"]), tuple(r["v"])) for r in got} == set(pairs[:2])
+
+
+def test_lines_in_two_orders(spark):
+    """Near copies of each other, but not of the first line with their fingerprint, are found."""
+    words = data.sentence(random.Random(6), 30).split()
+    turned = list(reversed(words))
+    x, y = " ".join(turned), " ".join([turned[1], turned[0], *turned[2:]])
+    df = spark.createDataFrame([(0, " ".join(words)), (1, x), (2, y)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == {0: " ".join(words), 1: x, 2: ""}
+
+
 def test_within(spark):
     rows = [("kitten", "sitting", 3), ("kitten", "sitting", 2), ("", "", 0), ("a" * 300, "a" * 290 + "b" * 10, 10), ("a" * 300, "b" * 300, 299), ("abc", "abc", 0)]
     got = [r["w"] for r in spark.createDataFrame(rows, "x string, y string, m int").select(lines.within(F.col("x"), F.col("y"), F.col("m")).alias("w")).collect()]
