@@ -210,6 +210,14 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_vectors(spark):
+    """A row that repeats more often than k leaves room for the other neighbours."""
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.1])] * 9 + [(i, [1.0, 0.1 * i]) for i in range(2, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 0")).collect())
+    assert got == [(i, i) for i in range(1, 6)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

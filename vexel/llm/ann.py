@@ -95,11 +95,11 @@ class Forest:
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id, v (array of double): rows that take part."""
+    """vec_id, v (array of double): rows that take part, equal ones once."""
     v = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(fine).where(F.exists("v", lambda x: x != 0))
+    return rows.where(fine).where(F.exists("v", lambda x: x != 0)).distinct()
 
 
 def blocked(rows: DataFrame, per_block: int, kind: str) -> tuple[DataFrame, int]:
