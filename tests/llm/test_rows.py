@@ -218,6 +218,26 @@ def test_repeated_vectors(spark):
     assert got == [(i, i) for i in range(1, 6)]
 
 
+def test_near_stage_recall(spark):
+    """Copies at a similarity of 0.8 to 0.95 go, others stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows, near = [], set()
+    for i in range(60):
+        words = data.sentence(rng, 400).split()
+        copy = list(words)
+        for at in rng.sample(range(0, 400, 10), (2, 4, 8, 14)[i % 4]):
+            copy[at] = "other"
+        sets = [{tuple(w[j : j + 5]) for j in range(396)} for w in (words, copy)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            near.add(1000 + i)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, "").collect()}
+    assert 30 <= len(near) < 60 and got == {i for i, _ in rows} - near
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
