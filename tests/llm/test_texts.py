@@ -189,6 +189,15 @@ def test_bpe_as_the_library(spark):
         raw = np.array(ids, "<u4").tobytes()
         assert tuple(digests[i])[1:] == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
     assert bpe.encode_digests(data.empty(spark), content).count() == 0
+    # pieces of a long text make the same tokens
+    memory = bpe.Memory(bpe.PairIndexBPE(content))
+    for t in [t or "" for t in texts[:300]] + ["  ".join(t or "" for t in texts[:200])]:
+        whole = bpe.Digest()
+        for _, ids, part in bpe.encode_texts(memory, [t], 25):
+            whole.add(ids, part)
+        ids = lib.encode(t, add_special_tokens=False).ids
+        decoded = lib.decode(ids, skip_special_tokens=False)
+        assert whole.row() == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
 def test_language(spark):

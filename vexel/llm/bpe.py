@@ -6,11 +6,14 @@ that arise next to a merge are updated. Words are cut as the tokenizer's file sa
 from their words' ids.
 
 Defined cases: null text counts as empty and has no tokens; the file's added tokens are matched in the raw text; an empty
-table gives an empty result; repeated rows give repeated rows; other columns are ignored.
+table gives an empty result; repeated rows give repeated rows; other columns are ignored. Very long texts are encoded in
+pieces of about ``PIECE`` characters, cut after blanks, over which no token reaches; digests are taken piece by piece, so
+only a single word must fit in memory. Equal words have equal tokens wherever they stand; there are no other ties.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -24,8 +27,12 @@ from pyspark.sql import DataFrame
 
 from vexel.llm.common import doc_text, text_chunks
 
-#: Words that a task remembers before it starts anew.
-REMEMBERED = 600_000
+#: Bytes of words, ids and decoded words that a task remembers, about, before it starts anew.
+REMEMBERED = 32 << 20
+#: Bytes that a remembered word takes beside its letters, about: two strings, a number, places in lists.
+WORD_BYTES = 240
+#: Characters that are cut into words at once.
+PIECE = 1 << 20
 #: Lower-case letters from which a class of the standard library's re can be built; texts with others take the file's pattern.
 PLAIN = "a-zß-öø-ʯ"
 
@@ -163,35 +170,42 @@ class PairIndexBPE:
 
 
 class Numbers(dict):
-    """Numbers words as they come."""
+    """Numbers words as they come; ``new`` lists those that came since it was emptied."""
+
+    def __init__(self, known: list[str]) -> None:
+        super().__init__((w, i) for i, w in enumerate(known))
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
+        self.new.append(word)
         return n
 
 
 class Memory:
-    """Words already encoded, for one task."""
+    """Words already encoded, for one task, bounded by their bytes."""
 
     def __init__(self, bpe: PairIndexBPE) -> None:
         import numpy as np
 
         self.bpe = bpe
-        self.index = Numbers((t, i) for i, t in enumerate(bpe.added))
+        self.index = Numbers(list(bpe.added))
         self.decoded = list(bpe.added)
         self.ids = np.array(list(bpe.added.values()), np.int32)
         self.offsets = np.arange(len(bpe.added) + 1)
+        self.bytes = 0
 
     def numbers(self, lists: list[list[str]]) -> list:
         """Number of each word; new words are encoded."""
         import numpy as np
 
-        if len(self.index) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self.__init__(self.bpe)
-        known, number = len(self.index), self.index.__getitem__
+        number = self.index.__getitem__
         found = [list(map(number, words)) for words in lists]
-        if len(self.index) > known:
-            new = list(self.index)[known:]
+        new = self.index.new
+        if new:
+            self.index.new = []
             ids, offsets = self.bpe.encode_words(new)
             names = self.bpe.names
             tokens = [names[i] for i in ids.tolist()]
@@ -199,30 +213,101 @@ class Memory:
             self.decoded += [" ".join(tokens[a:b]) for a, b in zip(cuts, cuts[1:])]
             self.offsets = np.concatenate([self.offsets, offsets[1:] + len(self.ids)])
             self.ids = np.concatenate([self.ids, ids])
+            self.bytes += 2 * sum(map(len, new)) + len(new) * WORD_BYTES
         return found
 
 
-def encode_texts(memory: Memory, texts: list[str]) -> Iterator[tuple]:
-    """(ids as a uint32 array, decoded text) of each text."""
+def pieces(text: str, limit: int) -> Iterator[str]:
+    """The text in pieces of about ``limit`` characters, cut after blanks."""
+    at = 0
+    while len(text) - at > limit:
+        stop = text.find(" ", at + limit) + 1
+        if not stop:
+            break
+        yield text[at:stop]
+        at = stop
+    yield text[at:] if at else text
+
+
+def encode_texts(memory: Memory, texts: list[str], limit: int | None = None) -> Iterator[tuple]:
+    """(number of the text, ids as a uint32 array, decoded) of each piece of each text, in order."""
     import numpy as np
 
-    numbers = memory.numbers([memory.bpe.words(t) for t in texts])
-    flat, offsets, decoded = memory.ids, memory.offsets, memory.decoded.__getitem__
-    for own in numbers:
-        w = np.array(own, np.int64)
-        starts, sizes = offsets[w], offsets[w + 1] - offsets[w]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
-        yield flat[at].astype(np.uint32), " ".join(map(decoded, own))
+    def encoded(part: list[tuple[int, str]]) -> Iterator[tuple]:
+        numbers = memory.numbers([memory.bpe.words(t) for _, t in part])
+        flat, offsets, decoded = memory.ids, memory.offsets, memory.decoded.__getitem__
+        for (i, _), own in zip(part, numbers):
+            w = np.array(own, np.int64)
+            starts, sizes = offsets[w], offsets[w + 1] - offsets[w]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            at = np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+            yield i, flat[at].astype(np.uint32), " ".join(map(decoded, own))
+
+    limit = limit or PIECE
+    part: list[tuple[int, str]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for piece in pieces(text, limit):
+            part.append((i, piece))
+            size += len(piece)
+            if size >= limit:
+                yield from encoded(part)
+                part, size = [], 0
+    if part:
+        yield from encoded(part)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(content: str) -> PairIndexBPE:
+    """The encoder of a tokenizer file, made once in a process."""
+    return PairIndexBPE(content)
+
+
+class Whole:
+    """ids and decoded text of a document."""
+
+    def __init__(self) -> None:
+        self.ids: list = []
+        self.texts: list[str] = []
+
+    def add(self, ids, text: str) -> None:
+        self.ids.append(ids.astype("int32"))
+        if len(ids):
+            self.texts.append(text)
+
+    def row(self) -> tuple:
+        import numpy as np
+
+        return np.concatenate(self.ids), " ".join(self.texts)
+
+
+class Digest:
+    """Number of ids and digests of ids and decoded text of a document."""
+
+    def __init__(self) -> None:
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids, text: str) -> None:
+        if len(ids):
+            self.text.update(f" {text}".encode() if self.n else text.encode())
+            self.ids.update(ids.astype("<u4").tobytes())
+            self.n += len(ids)
+
+    def row(self) -> tuple:
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
 
 
-def _mapped(docs: DataFrame, content: str, schema: str, row) -> DataFrame:
+def _mapped(docs: DataFrame, content: str, schema: str, kind: type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(PairIndexBPE(content))
-        for batch in text_chunks(batches):
-            rows = [row(ids, text) for ids, text in encode_texts(memory, batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*rows))], names=["doc_id", *names])
+        memory = Memory(encoder(content))
+        for batch in text_chunks(batches, PIECE):
+            rows = []
+            for i, ids, text in encode_texts(memory, batch.column("text").to_pylist()):
+                if i == len(rows):
+                    rows.append(kind())
+                rows[i].add(ids, text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*(r.row() for r in rows)))], names=["doc_id", *names])
 
     names = [c.split()[0] for c in schema.split(", ")]
     return doc_text(docs).mapInArrow(run, f"doc_id long, {schema}")
@@ -230,13 +315,9 @@ def _mapped(docs: DataFrame, content: str, schema: str, row) -> DataFrame:
 
 def encode(docs: DataFrame, content: str) -> DataFrame:
     """doc_id, ids (array of int), decoded (string). content: the tokenizer file's text."""
-    return _mapped(docs, content, "ids array<int>, decoded string", lambda ids, text: (ids.astype("int32"), text))
+    return _mapped(docs, content, "ids array<int>, decoded string", Whole)
 
 
 def encode_digests(docs: DataFrame, content: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode() returns."""
-    sha = hashlib.sha256
-    return _mapped(
-        docs, content, "n_tokens long, ids_sha256 string, decoded_sha256 string",
-        lambda ids, text: (len(ids), sha(ids.astype("<u4").tobytes()).hexdigest(), sha(text.encode()).hexdigest()),
-    )
+    return _mapped(docs, content, "n_tokens long, ids_sha256 string, decoded_sha256 string", Digest)
