@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
@@ -35,14 +35,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Session setting under which Spark removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as a Parquet table to the shared folder; it goes when the session ends."""
+    """The same rows, written as a Parquet table to the shared folder; it goes when the session ends, or by discard()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # what is written needs no shuffle files any more
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of stored() that nothing reads any more."""
+    for df in tables:
+        fs, place = _file_system(df.sparkSession, df.stored_at)
+        fs.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

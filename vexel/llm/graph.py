@@ -5,26 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import cut
+from vexel.llm.common import discard, stored
+
+#: Parts over which the neighbours of one node are dealt.
+PARTS = 64
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """u, v, m for edges u, v: m is the least v of u.
+
+    Minima are taken by node and part of its neighbours first, and joined back by both, so that the neighbours of one node
+    are never in one task; a node takes part as often as it has parts, at most ``PARTS`` times.
+    """
+    dealt = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int").alias("part"))
+    parts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts")).select("u", "m", F.explode("parts").alias("part"))
+    return dealt.join(least, ["u", "part"]).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v: of one orderable type); root is the component's smallest node.
 
-    Each step only takes minima by node and joins them back, so a node with many neighbours is aggregated map side and
-    never gathered. Lineage is cut in every round; rounds grow with the logarithm of the longest chain.
+    Lineage is cut in every round by a table in the shared folder, which the next round replaces; rounds grow with the
+    logarithm of the longest chain.
     """
-    pairs = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
-        # large star: every larger neighbour of a node goes to the node's smallest neighbour
+        # large star: every larger neighbour of a node goes to the least of the node and its neighbours
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: a node and its smaller neighbours go to the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        # small star: a node and its smaller neighbours go to the least of these
+        small = with_least(large)
+        moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, pairs = pairs, stored(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         # bigint sums would overflow under ANSI
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
