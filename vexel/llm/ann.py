@@ -11,8 +11,10 @@ above 0.9 even where vectors have no structure and neighbours are barely nearer
 ``LEAST`` candidates.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors whose length
-differs from the query's are no candidates; equal rows of a vec_id count once and are never found for their own id; a
-table without usable rows gives an empty result; other columns are ignored.
+differs from the query's are no candidates; a vec_id counts once and is never found for itself, and where its rows differ
+the least of its usable vectors stands for it; equal scores go to the smaller vec_id; a score is summed row by row in one
+order, so equal vectors score equally wherever they lie; a table without usable rows gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LEAST = 512
 ROWS = 8192
 QUERIES = 1024
 SEED = 11
+#: More than two ways of summing a cosine can differ by.
+SLACK = 1e-9
 
 
 class Forest:
@@ -95,11 +99,11 @@ class Forest:
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id, v (array of double): rows that take part, equal ones once."""
+    """vec_id, v (array of double): rows that take part, one for each vec_id."""
     v = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(fine).where(F.exists("v", lambda x: x != 0)).distinct()
+    return rows.where(fine).where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def blocked(rows: DataFrame, per_block: int, kind: str) -> tuple[DataFrame, int]:
@@ -146,7 +150,11 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, share: float = SHA
                 out = ([], [], [])
                 for (i, v), at in zip(mine, forest.candidates(q / np.linalg.norm(q, axis=1, keepdims=True), wanted)):
                     at = at[own[at] != i]
-                    score = x[at] @ v / (length[at] * np.sqrt((v * v).sum()))
+                    size = np.sqrt((v * v).sum())
+                    if len(at) > k:  # matrix products round by place: they only choose what is scored exactly
+                        rough = x[at] @ v / (length[at] * size)
+                        at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - SLACK]
+                    score = (x[at] * v).sum(1) / (length[at] * size)
                     best = np.lexsort((own[at], -score))[:k]
                     out[0].extend([i] * len(best))
                     out[1].extend(own[at][best].tolist())
@@ -171,6 +179,6 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, share: float = SHA
             forests = build() if forests is None else forests
             yield from answer()
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
