@@ -6,10 +6,11 @@ embedding and the filters are folded into two tables over byte pairs, so that a
 cut into windows over its whole length; its probabilities are the means over its windows, by their bytes.
 
 Training takes a bounded sample of labelled rows: about ``PER_LANGUAGE`` texts of each language, chosen by a hash of text
-and doc_id, and ``WINDOWS`` windows of each text. All else covers every byte.
+and doc_id, and ``WINDOWS`` pieces of each, of ``WINDOW`` characters. All else covers every byte.
 
 Defined cases: a null text, or one without a letter, gives ``und`` and score 0; without labelled rows every text gives
-``und``; null langs are never learned from; repeated rows get equal results; an empty table gives an empty result; other
+``und``; null langs are never learned from; repeated rows get equal results; of equally probable languages the first by name
+is taken; a very long text counts by all of its windows, some at a time; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vexel.llm.common import column_buffers, text_chunks
 
-#: Bounds of the training sample: texts of each language, windows of each text, characters of a text that may reach the driver.
+#: Bounds of the training sample: texts of each language, and pieces of each text.
 PER_LANGUAGE = 600
 WINDOWS = 6
 #: Bytes of a window, and widths and numbers of the filters.
@@ -78,15 +79,14 @@ def train(texts: list[bytes], langs: list[str], steps: int = 400, batch: int = 4
     rows, ys = [], []
     for text, lang in zip(texts, langs):
         raw = np.frombuffer(text, np.uint8)
-        # whole windows at random places, and now and then a short one, as texts can be short
-        for _ in range(WINDOWS):
-            size = WINDOW if rng.random() < 0.6 else int(rng.integers(8, WINDOW))
-            at = int(rng.integers(0, max(1, len(raw) - size + 1)))
-            row = np.full(WINDOW + widest - 1, PAD, np.int32)
-            part = raw[at : at + size]
-            row[: len(part)] = part
-            rows.append(row)
-            ys.append(languages.index(lang))
+        # whole windows, and now and then a short one, as texts can be short
+        size = WINDOW if rng.random() < 0.6 else int(rng.integers(8, WINDOW))
+        at = int(rng.integers(0, max(1, len(raw) - size + 1)))
+        row = np.full(WINDOW + widest - 1, PAD, np.int32)
+        part = raw[at : at + size]
+        row[: len(part)] = part
+        rows.append(row)
+        ys.append(languages.index(lang))
     x, y = np.array(rows), np.array(ys)
     classes, f = len(languages), FILTERS
     par = {"e": rng.normal(0, 0.5, (257, EMBEDDING)), "b": np.zeros(f * len(WIDTHS)), "w": rng.normal(0, 0.2, (f * len(WIDTHS), classes)), "o": np.zeros(classes)}
@@ -175,15 +175,18 @@ def predict_batch(net: Network, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def sample(labelled: DataFrame) -> list:
-    """About PER_LANGUAGE rows (text, lang) of each language of labelled (doc_id, text, lang)."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return []
-    place = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen |= (F.col("lang") == lang) & (place < int(min(1.0, PER_LANGUAGE / n) * (1 << 30)))
-    return sorted(labelled.where(chosen).select("text", "lang").collect())
+    """Pieces (piece, lang) of about PER_LANGUAGE texts of each language of labelled (doc_id, text, lang), cut where the texts lie.
+
+    WINDOWS pieces of WINDOW characters a text, at places by hash; the driver gets no more than these.
+    """
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # one row per class of the network, which holds them all anyway
+    rows = labelled.join(F.broadcast(counts), "lang")
+    place = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    last = F.greatest(F.lit(1), F.char_length("text") - WINDOW + 1)
+    starts = (F.pmod(F.xxhash64("text", "doc_id", F.lit(i)), last).cast("int") + 1 for i in range(WINDOWS))
+    pieces = F.explode(F.array(*(F.substring(F.col("text"), at, F.lit(WINDOW)) for at in starts)))
+    return sorted(rows.where(place < F.lit(float(PER_LANGUAGE)) / F.col("n")).select(pieces.alias("piece"), "lang").collect())
 
 
 def learn(labelled: DataFrame) -> tuple[dict, list[str]] | None:
