@@ -8,7 +8,8 @@ that meet in one variant, all link to one that is a flip away at most: distances
 lost to the components and a group never makes pairs.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero, which links like any other; rows
-with equal fingerprints are one component; null doc_ids never name a component unless it has no other; an empty table
+with equal fingerprints are one component, whatever their texts; ties in a bit (set in just half of the shingles) give 0; a
+very long text must fit in a worker with the list of its shingles; null doc_ids never name a component unless it has no other; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import cut, doc_text, text_chunks
+from vexel.llm.common import cut, doc_text, slots, text_chunks
 from vexel.llm.graph import connected_components
 
 SEED = 42
@@ -29,6 +30,8 @@ BITS = 64
 STEP = 2048
 #: Variants in a bucket, about.
 BUCKET_ROWS = 1 << 17
+#: Bytes of variants that a task puts out, about.
+TASK_BYTES = 64 << 20
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -169,7 +172,9 @@ def components(fps: DataFrame) -> DataFrame:
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     n = distinct.count()
     bits = max(CODE, (n * 560 // BUCKET_ROWS).bit_length())
-    met = distinct.select("fp").repartition("fp").mapInArrow(expand(bits), "bucket long, blob binary")
+    # as many tasks as their output asks for, however few bytes go in
+    tasks = max(slots(fps.sparkSession), n * 560 * 8 // TASK_BYTES)
+    met = distinct.select("fp").repartition(tasks, "fp").mapInArrow(expand(bits), "bucket long, blob binary")
     linked = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet(bits), "u long, v long")
     roots = connected_components(linked)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
