@@ -1,17 +1,19 @@
 """Chat formatting, mixing, line dedup, quality, nearest neighbours and the pipeline."""
 
 import hashlib
+import os
 import random
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import data
-from vexel.llm import ann, chat, common, lines, mix, quality
+from vexel.llm import ann, chat, common, lines, mix, quality, queries
 
 
 def test_chat(spark):
@@ -65,8 +67,8 @@ def test_mix(spark):
     assert once == again
     for s in ("a", "b", None):
         own = [r for r in once if r["source"] == s]
-        assert sum(r["copies"] * r["size"] for r in own) == pytest.approx(own[0]["target"], rel=0.12)
-        assert max(r["copies"] for r in own) <= 3
+        assert sum(r["copies"] * r["size"] for r in own) == pytest.approx(own[0]["target"], rel=0.01)
+        assert max(r["copies"] for r in own) <= 3 and max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
     mixed = mix.mix(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in once)
     assert mixed.where("size <> 7").count() == 0
@@ -75,6 +77,32 @@ def test_mix(spark):
     assert mix.mix(data.empty(spark)).count() == 0
 
 
+def test_mix_of_small_sources():
+    """Few cells of very different sizes come near the wanted words, and each is drawn with the fraction's probability."""
+    rng = random.Random(2)
+    for fraction in (0.1, 0.5, 0.8):
+        off, drawn = [], np.zeros(50)
+        for k in range(400):
+            cells = [(int(3 + 400 * rng.paretovariate(2)), i) for i in range(50)]
+            total = sum(w for w, _ in cells)
+            longs = mix.draw_cells(f"s{k}", cells, fraction * total)
+            taken = [longs[i // 64] >> i % 64 & 1 for _, i in cells]
+            off.append(abs(sum(t * w for t, (w, _) in zip(taken, cells)) - fraction * total) / total)
+            drawn += taken
+        assert np.median(off) < 0.01 and np.mean(off) < 0.05 and abs(drawn.mean() / 400 - fraction) < 0.03
+
+
+def test_mix_on_the_table(spark):
+    """Every source of the table comes within a tenth of its target."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no tables")
+    rows = queries.op3_mixing(spark, path)
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "source")
+    for r in rows.join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect():
+        assert r["taken"] == pytest.approx(r["target"], rel=0.1) and r["over"] <= 0
+
+
 def test_lines(spark):
     line = "the quick brown fox jumps over the lazy dog while seventeen other animals watch from the hill nearby and say nothing at all about it today"
     near = f"  {line.upper()} "
@@ -145,10 +173,12 @@ def test_line_blocks(spark):
     """Counters packed in longs give the plain SimHash of each block."""
     rng = random.Random(7)
     texts = [data.sentence(rng, n) for n in (1, 3, 19, 20, 22, 23, 24, 45, 100, 400, 900, 3000)] + ["a", "zé zé été b"]
-    got = lines.blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = lines.blocks(spark.createDataFrame(list(enumerate([*texts, " A "])), "doc_id long, text string")).collect()
     want = [(v, k if v >= 0 else 0, *c) for t in texts for v, cells in level_blocks(t).items() for k, c in cells.items()]
-    assert len(got) == len(want)
-    assert len({r["key"] for r in got}) == len(set(want))
+    copies = [r for r in got if r["level"] == lines.COPIES]
+    assert len(copies) == 2 and len({r["key"] for r in copies}) == 1
+    assert len(got) == len(want) + 2
+    assert len({r["key"] for r in got}) == len(set(want)) + 1
 
 
 def test_lines_against_brute_force(spark):
@@ -259,37 +289,87 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, 0) is None and quality.kth_largest(df.limit(0), 3) is None
 
 
-def test_nearest(spark, monkeypatch):
+def test_importance_against_brute_force(spark):
+    """Means of log ratios over byte trigrams, words and pairs of words, with tables of our own."""
+    texts = ["the cat sat on the mat", "the the the dog", "é à la carte", "", None, "ab", "x", " \t\n", "one\ntwo  three\tone two", "a" * 50]
+    column = pa.array(texts, pa.string())
+    ratios = np.random.default_rng(3).normal(size=quality.NONE)
+    got = [r["w"] for r in quality.weighted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), ratios, "w").orderBy("doc_id").collect()]
+    words = sorted({w for t in texts for w in (t or "").split()})
+    # cells of single words, from texts of one word
+    cell = dict(zip(words, (int(c[0]) for c in np.split(quality.ngrams(pa.array(words))[1][0], len(words)))))
+    pair = {(a, b): int(quality.ngrams(pa.array([f"{a} {b}"]))[2][0][0]) for a in words for b in words}
+    assert all((c == quality.EQUAL) == (a == b) for (a, b), c in pair.items())
+    assert len(set(cell.values())) == len(cell) and all(quality.CELLS <= c < 2 * quality.CELLS for c in cell.values())
+    for t, w in zip(texts, got):
+        raw, own = (t or "").encode(), (t or "").split()
+        three = [(int.from_bytes(raw[i : i + 3]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(raw) - 2)]
+        want = [*three, *(cell[x] for x in own), *(pair[p] for p in zip(own, own[1:]))]
+        assert w == pytest.approx(quality.LENGTH * sum(ratios[c] for c in want) / max(1, len(want)), abs=1e-9)
+    assert sum(len(c) for c, _ in quality.ngrams(column)) > 0
+
+
+def test_sample_against_brute_force(spark):
+    """The k rows with the largest sum of weight and noise, in any number of partitions."""
+    rng = random.Random(4)
+    rows = [(i, f"t{i % 90}", rng.gauss(0, 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, weight double").withColumn("key", quality.perturbed(F.col("weight"))).repartition(4)
+    keys = sorted((r["key"] for r in df.collect()), reverse=True)
+    for at in (-2.0, 0.0, 4.0, 99.0):
+        k = sum(w >= at for _, _, w in rows)
+        assert sorted((r["key"] for r in quality.top(df, "weight", "key", at).collect()), reverse=True) == keys[:k]
+    noise = np.array([r["n"] for r in spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).select((quality.perturbed(F.lit(0.0)) / quality.GRAIN).alias("n")).collect()])
+    assert abs(noise.mean() - 0.5772) < 0.1 and abs(noise.std() - 1.2825) < 0.1  # a Gumbel distribution's mean and deviation
+
+
+def brute_nearest(rows, queries, k=5):
+    """{query: [(vec_id, score)]} over usable rows {vec_id: vector}."""
+    out = {}
+    for q in queries:
+        v = rows[q]
+        scored = [(-float((rows[i] * v).sum() / (np.sqrt((rows[i] * rows[i]).sum()) * np.sqrt((v * v).sum()))), i) for i in rows if i != q and len(rows[i]) == len(v)]
+        out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
+    return out
+
+
+def test_nearest(spark):
+    """Odd rows, ties, repeated rows, one block."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(1500, 24)).astype(np.float32)
-    rows = [(i, x[i].tolist()) for i in range(len(x))] + [(5000, None), (5050, [0.0] * 24), (5100, [float("nan")] * 24), (5150, [None] + [1.0] * 23), (5200, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    monkeypatch.setattr(ann, "ROWS", 400)
-    got = ann.nearest(df, df.where("vec_id % 50 = 0")).collect()
-    assert {r["query_id"] for r in got} == set(range(0, 1500, 50))
-    y = x.astype(np.float64)
-    unit = y / np.linalg.norm(y, axis=1, keepdims=True)
-    hits = 0
-    for q in range(0, 1500, 50):
-        score = unit @ unit[q]
-        score[q] = -9
-        truth = set(np.argsort(-score)[:5].tolist())
-        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
-        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and [s for _, _, s in own] == sorted((s for _, _, s in own), reverse=True)
-        assert all(abs(score[v] - s) < 1e-12 for _, v, s in own)
-        hits += len(truth & {v for _, v, _ in own})
-    assert hits / 150 >= 0.9
+    x = {i: rng.normal(size=8).astype(np.float32) for i in range(160)}
+    x |= {200 + i: x[i * 7] for i in range(20)} | {300 + i: x[0] * np.float32(2) for i in range(7)}  # equal directions tie
+    rows = [(i, v.tolist(), "a", 1) for i, v in x.items()] + [(0, x[0].tolist(), "b", 2)] * 8 + [(3, x[3].tolist(), "c", 3)] * 9
+    rows += [(5000, None, "a", 1), (5050, [0.0] * 8, "a", 1), (5100, [float("nan")] * 8, "a", 1), (5150, [None] + [1.0] * 7, "a", 1), (5200, [1.0, 2.0], "a", 1), (5250, [float("inf")] * 8, "a", 1), (None, [1.0] * 8, "a", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string, rank int").repartition(3)
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r["query_id"]]) + 1
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = brute_nearest({i: v.astype(np.float64) for i, v in x.items()}, [i for i in x if i % 50 == 0])
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-14) and [i for i, _ in got[q]] == [i for i, _ in want[q]]
     few = ann.nearest(df.where("vec_id < 3"), df.where("vec_id = 0")).collect()
-    assert [r["vec_id"] for r in few] and len(few) == 2
+    assert sorted(r["vec_id"] for r in few) == [1, 2]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_repeated_vectors(spark):
-    """A row that repeats more often than k leaves room for the other neighbours."""
-    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.1])] * 9 + [(i, [1.0, 0.1 * i]) for i in range(2, 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 0")).collect())
-    assert got == [(i, i) for i in range(1, 6)]
+def test_nearest_through_the_forest(spark, monkeypatch):
+    """Recall where blocks hold far more rows than a query's candidates: fails if the forest gives all rows, or too few."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.Forest(x[:4000])
+    shares = [len(at) / 4000 for at in forest.candidates(x[:40], int(ann.SHARE * 4000))]
+    assert 0.3 < np.mean(shares) < 0.75 and max(shares) < 0.9
+    monkeypatch.setattr(ann, "ROWS", 4000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    scores = x[::50] @ x.T
+    scores[np.arange(160), np.arange(0, 8000, 50)] = -9
+    hits = sum(len(got[50 * j] & set(np.argsort(-scores[j])[:5].tolist())) for j in range(160))
+    assert all(len(v) == 5 for v in got.values()) and 0.9 <= hits / 800
 
 
 def test_near_stage_recall(spark):

@@ -43,6 +43,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.rates(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op3: the part of its result that has SQL, one row per source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = mix.rates(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"), F.first("target").alias("target"))
+    return rows.withColumn("target", F.round("target", 4))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -60,7 +67,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the sample keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.keep(docs, table(spark, sf_dir, "labels"), "log_weight").select("doc_id", "log_weight", F.lit(True).alias("kept"))
+    return quality.keep(docs, table(spark, sf_dir, "labels"), ["doc_id"], "log_weight").select("doc_id", "log_weight", F.lit(True).alias("kept"))
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_chat_formatting, op2_exact_dedup, op3_mixing, op4_language_id, op5_bpe,
         op6_suffix_dedup, op7_line_dedup, op8_quality, op9_simhash, op10_nearest_neighbours,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in (*every, mixing_targets)}
 
 
 _OP1 = """
@@ -113,5 +120,43 @@ FROM n WINDOW w AS (PARTITION BY body ORDER BY length(text) DESC, doc_id)
 """
 
 
+# The level of the water is the largest that any choice of full sources by cap over weight gives.
+_TARGETS = r"""
+WITH s AS (
+  SELECT source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source
+), r AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w, 3.0 * source_size AS cap FROM s
+), v AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r WINDOW o AS (ORDER BY cap / w, source NULLS LAST)
+)
+SELECT source, n_docs, source_size, round(CAST(least(cap, w * max(level) OVER ()) AS DOUBLE), 4) AS target FROM v
+"""
+
+_OP6 = """
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT r, i, md5(CAST(b[i + 1 : i + 100] AS BLOB)) AS h FROM (SELECT r, b, unnest(generate_series(0, octet_length(b) - 100)) AS i FROM d WHERE octet_length(b) >= 100)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY h ORDER BY r, i) AS k FROM w) WHERE k > 1
+), runs AS (
+  SELECT r, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again)
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS z FROM runs GROUP BY r, g
+), pieces AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM spans
+  UNION ALL SELECT d.r, coalesce(max(s.z), 0), octet_length(any_value(b)) FROM d LEFT JOIN spans s ON s.r = d.r GROUP BY d.r
+), kept AS (
+  SELECT p.r, string_agg(hex(CAST(b[p.a + 1 : p.z] AS BLOB)), '' ORDER BY p.a) AS h FROM pieces p JOIN d ON d.r = p.r WHERE p.z > p.a GROUP BY p.r
+), gone AS (
+  SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op2_exact_dedup": _OP2}
+    return {"op1_chat_formatting": _OP1, "op2_exact_dedup": _OP2, "op6_suffix_dedup": _OP6, "mixing_targets": _TARGETS}
