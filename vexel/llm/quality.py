@@ -217,7 +217,7 @@ def top(rows: DataFrame, weight: str, key: str, at: float) -> DataFrame:
     return rows.where(F.lit(False) if least is None else F.col(key) >= F.lit(least))
 
 
-def keep(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, name: str | None = None) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, name: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """The rows of docs that the sample takes: all columns, or those named, and the log importance as ``name`` if one is given.
 
     labels: doc_id, quality (0 or 1).

@@ -67,7 +67,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the sample keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.keep(docs, table(spark, sf_dir, "labels"), ["doc_id"], "log_weight").select("doc_id", "log_weight", F.lit(True).alias("kept"))
+    return quality.keep(docs, table(spark, sf_dir, "labels"), "log_weight", ["doc_id"]).select("doc_id", "log_weight", F.lit(True).alias("kept"))
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
