@@ -3,11 +3,14 @@
 Map side, each partition inserts its normalised texts into a compressed radix trie; a terminal node stores the owner
 so far (most code points in the original text, then smallest doc_id) and the number of rows, so a hot text leaves a
 partition as one row. Those rows are partitioned by length and content hash, sorted within the partition, and inserted
-again; here terminals become final owners. When a trie outgrows its budget it spills by subtree: on the map side the
-largest subtree goes downstream as partial owners, on the owner side all subtrees whose (length, hash) has passed.
+again; here terminals become final owners. When a trie outgrows its budget it spills by subtree, the largest first: on the
+map side as partial owners, on the owner side as final ones, as all that came before the present (length, hash) is complete.
+A hot text meets its rows again in a sorted join, whose skewed partitions adaptive execution splits.
 
 Defined cases: null text counts as empty; empty texts form one group; a null doc_id is larger than any other; repeated
-rows (same doc_id and text) are all members, and each that equals the owner counts as kept; other columns are ignored.
+rows (same doc_id and text) are all members, and each that equals the owner counts as kept; texts that tie in code points go
+to the smallest doc_id; a very long text is one path of a trie, and spills alone where it outgrows the budget; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,20 +144,19 @@ def final_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: list[tuple] = []
     trie, now = PatriciaTrie(), None
 
-    def flush() -> None:
-        done.extend((hashlib.sha256(body).hexdigest(), own[1], own[2]) for body, own in trie.terminals() if own[2] > 1)
+    def final(found: Iterator[tuple[bytes, list]]) -> None:
+        done.extend((hashlib.sha256(body).hexdigest(), own[1], own[2]) for body, own in found if own[2] > 1)
 
     for batch in batches:
         for key, body, chars, doc_id, n in zip(zip(*(batch.column(c).to_pylist() for c in ("len", "hash"))), *(batch.column(c).to_pylist() for c in ("body", "chars", "id", "n"))):
-            if key != now and trie.bytes > BUDGET:
-                flush()
-                trie = PatriciaTrie()
+            while key != now and trie.bytes > BUDGET:
+                final(trie.pop_largest())
             now = key
             trie.insert(body, chars, doc_id, n)
         if len(done) > 10_000:
             yield _rows(schema, done)
             done = []
-    flush()
+    final(trie.terminals())
     if done:
         yield _rows(schema, done)
 
