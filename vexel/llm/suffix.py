@@ -12,9 +12,14 @@ Goal: every byte covered by a ``LENGTH``-byte string that also starts earlier in
 3. Dictionary. Their bytes are fetched; the dictionary's suffixes are ordered by prefix doubling up to LENGTH bytes,
    suffixes that are equal so far form a class, and of each class the first in corpus order stays.
 
-Hashes of phrases have 64 bits beside the 40 of the trigger; windows of the dictionary are compared by their bytes.
-
-Defined cases: null text counts as empty; texts under LENGTH bytes lose nothing; a null doc_id comes last; rows that
+Every window of LENGTH bytes lies in one phrase whole, so the order of suffixes up to that length follows from the dictionary
+alone, and the corpus order of equal windows from the phrases' places; the parse needs no suffix array of its own, which
+would order what reaches over phrases. Hashes of phrases have 64 bits beside the 40 of the trigger; windows of the
+dictionary are compared by their bytes.
+
+Defined cases: null text counts as empty; texts under LENGTH bytes lose nothing; of equal windows the first in corpus order
+stays, there are no other ties; a very long text is parsed in blocks, and must fit in a worker with its phrases; a null
+doc_id comes last; rows that
 repeat doc_id and text are one document and share their fate, rows that repeat a doc_id with another text follow in order
 of the text's hash; an empty table gives an empty result; other columns are ignored.
 """
