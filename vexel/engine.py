@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import tempfile
 import time
+import warnings
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vexel.functions import distance
 from vexel.operators import build as building
-from vexel.operators.search import SearchPlan, as_query, batch_exact, execute
+from vexel.operators.search import SearchPlan, as_query, batch_exact, execute, size_in_bytes
 from vexel.plans import frontend, options, planner
 from vexel.plans.options import IndexError_
 from vexel.sources.registry import Registry
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Tells a table's content from another's without reading rows: its files and their size, or its plan where it has none."""
+    files = sorted(df.inputFiles())
+    content = [*files, str(size_in_bytes(df))] if files else [str(df.semanticHash())]
+    return hashlib.sha256("\n".join([df.schema.simpleString(), *content]).encode()).hexdigest()
+
+
 class Engine:
     """Vector search over DataFrames.
 
@@ -27,7 +37,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
-        if root is None and not spark.sparkContext.master.startswith("local"):
+        if root is None and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise IndexError_("the engine needs a folder that all executors share")
         self.registry = Registry(spark, root or tempfile.mkdtemp(prefix="vexel-"))
         self.tables: dict[str, tuple[DataFrame, str]] = {}
@@ -83,6 +93,7 @@ class Engine:
             "catalog_name": "spark_catalog", "schema_name": "default", "index_name": name, "table_name": table.lower(), "column_name": column, "key_name": key,
             "metric": parsed.metric.value, "quantization": parsed.quantization.value, "n_probe": parsed.n_probe, "seed": parsed.seed,
             "is_normalized": parsed.metric.value == "cosine", "rotate": parsed.rotate, "row_group_size": parsed.row_group_size, "created": time.time_ns(),
+            "fingerprint": fingerprint(df),
         })
         return True
 
@@ -108,6 +119,9 @@ class Engine:
         vector, blob = as_query(query)
         predicate = F.expr(where) if isinstance(where, str) else where
         index = self.registry.find(table, column, metric) if use_index else None
+        if index is not None and index["fingerprint"] != fingerprint(df):
+            warnings.warn(f"table '{table}' has changed since index '{index['index_name']}' was made: the search goes without it", stacklevel=2)
+            index = None
         return planner.plan_search(
             df, key, column, metric, vector, k, offset, predicate, index, self.registry.path(index["index_name"]) if index else None,
             self.spark.conf.get(planner.N_PROBE_KEY, None), n_probe, blob, table,
@@ -179,7 +193,11 @@ class Engine:
         return self.spark.createDataFrame([(True,)], "success boolean")
 
     def _plain(self, text: str) -> str:
-        return frontend.operators(frontend.normalized(text), self._is_vector)
+        return frontend.inlined(frontend.operators(frontend.normalized(text), self._is_vector), self._is_blob, distance.inline)
+
+    def _is_blob(self, operand: str) -> bool:
+        names = {f.name.lower() for df, _ in self.tables.values() for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)}
+        return operand.lower().split(".")[-1] in names or bool(frontend.BLOB.match(operand))
 
     def _is_vector(self, operand: str) -> bool:
         names = {f.name.lower() for df, _ in self.tables.values() for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.BinaryType))}
@@ -189,7 +207,7 @@ class Engine:
         """Value of an expression without columns, or None."""
         try:
             row = self.spark.sql(f"SELECT {frontend.normalized(text)} AS v").first()
-        except Exception:  # it has columns, or does not parse: no constant
+        except AnalysisException:  # it has columns, or does not parse: no constant
             return None
         return bytes(row["v"]) if isinstance(row["v"], (bytes, bytearray)) else row["v"] if isinstance(row["v"], list) else None
 

@@ -7,8 +7,6 @@ ignored, and NaN or infinite components are errors.
 
 from __future__ import annotations
 
-import base64
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,5 +89,19 @@ def constant(value) -> np.ndarray:
     return np.asarray(value, np.float32)
 
 
-def to_base64(blob: bytes) -> str:
-    return base64.b64encode(blob).decode()
+def _word_sql(x: str) -> str:
+    cases = [f"WHEN round({x} * float({int(inverse)})) BETWEEN {LOWEST} AND {HIGHEST} THEN int(round({x} * float({int(inverse)}))) * 4 + {i}" for i, inverse in enumerate(INVERSES[:-1])]
+    bad = f"WHEN isnan({x}) OR abs({x}) = float('inf') THEN raise_error('vectors with NaN or infinite components can''t be encoded')"
+    last = f"int(least(greatest(round({x} * float({int(INVERSES[-1])})), {LOWEST}), {HIGHEST})) * 4 + {len(INVERSES) - 1}"
+    return f"CASE {bad} {' '.join(cases)} ELSE {last} END"
+
+
+#: encode_blob and decode_blob of a value v as SQL expressions.
+ENCODE_SQL = (
+    f"unhex(array_join(transform(transform(v, x -> {_word_sql('x')} & 65535),"
+    " w -> substr(hex(bigint(shiftright(w, 8) + (w & 255) * 256 + 65536)), 2, 4)), ''))"
+)
+DECODE_SQL = (
+    "transform(transform(regexp_extract_all(hex(v), '([0-9A-F]{4})', 1), h -> int(conv(concat(substr(h, 3, 2), substr(h, 1, 2)), 16, 10))),"
+    f" r -> float(shiftright(if(r >= 32768, r - 65536, r), 2)) * element_at(array({', '.join(f'float({s})' for s in SCALES)}), (r & 3) + 1))"
+)

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,47 +56,41 @@ def cosine_distance(a, b) -> Column:
 BY_METRIC = {"l2sq": l2_distance, "cosine": cosine_distance, "ip": negative_inner_product}
 
 
-def measure(metric: str, x: np.ndarray, y: np.ndarray, blob: bool = False) -> float:
-    """The same for two arrays."""
-    x, y = x.astype(np.float64), y.astype(np.float64)
-    if len(x) != len(y):
-        raise ValueError(f"vectors differ in length: {len(x)} and {len(y)}")
-    if metric == "l2sq":
-        return float(np.sqrt(((x - y) ** 2).sum()))
-    if metric == "ip":
-        return float(-(x @ y))
-    norms = math.sqrt((x @ x) * (y @ y))
-    if norms == 0:
-        return 2.0 if blob else math.nan
-    return 1 - max(-1.0, min(1.0, float(x @ y) / norms))
+#: The distances in SQL, of vectors {a} and {b} of doubles.
+_DOT = "aggregate(zip_with({}, {}, (p, q) -> p * q), 0D, (s, x) -> s + x)"
+_AA, _BB, _AB = _DOT.format("{a}", "{a}"), _DOT.format("{b}", "{b}"), _DOT.format("{a}", "{b}")
+_SQL = {
+    "l2sq": "sqrt(aggregate(zip_with({a}, {b}, (p, q) -> (p - q) * (p - q)), 0D, (s, x) -> s + x))",
+    "ip": f"-{_AB}",
+    "cosine": f"if({_AA} = 0 OR {_BB} = 0, double('NaN'), 1 - greatest(-1D, least(1D, {_AB} / sqrt({_AA} * {_BB}))))",
+}
+
+
+def body(name: str, a: str, b: str) -> str:
+    """The distance of that SQL name between a and b, which are names of array<double>."""
+    differ = f"raise_error(concat('vectors differ in length: ', size({a}), ' and ', size({b})))"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL WHEN size({a}) <> size({b}) THEN {differ} ELSE float({_SQL[NAMES[name.lower()]].format(a=a, b=b)}) END"
+
+
+def inline(name: str, a: str, b: str) -> str:
+    """The same for any expressions a and b, which are taken once; unlike a function of SQL it may stand in ORDER BY."""
+    pair = f"named_struct('a', CAST({a} AS ARRAY<DOUBLE>), 'b', CAST({b} AS ARRAY<DOUBLE>))"
+    return f"element_at(transform(array({pair}), t -> {body(name, 't.a', 't.b')}), 1)"
 
 
 def register(spark: SparkSession) -> None:
-    """Registers the SQL functions: distances for any mix of arrays and blobs, and the codec."""
-
-    def distance(metric: str):
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            out = []
-            for x, y in zip(a, b):
-                if x is None or y is None:
-                    out.append(None)
-                    continue
-                blob = isinstance(x, (bytes, bytearray)) or isinstance(y, (bytes, bytearray))
-                out.append(measure(metric, codec.constant(x), codec.constant(y), blob))
-            return pd.Series(out, dtype="float32")
-
-        return F.pandas_udf(run, "float")
-
-    for name, metric in NAMES.items():
-        spark.udf.register(name, distance(metric))
-
-    def each(function, kind: str):
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: None if x is None else function(x))
-
-        return F.pandas_udf(run, kind)
-
-    spark.udf.register("encode_blob", each(codec.encode, "binary"))
-    spark.udf.register("decode_blob", each(codec.decode, "array<float>"))
-    spark.udf.register("blob_to_base64", each(codec.to_base64, "string"))
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION base64_to_blob(s STRING) RETURNS BINARY RETURN to_binary(s, 'base64')")
+    """Registers the SQL functions, all JVM expressions: distances between arrays, and the codec.
+
+    The engine's SQL puts the expressions themselves in place of calls, and takes blobs as operands, which it decodes;
+    elsewhere ``decode_blob`` does.
+    """
+
+    def create(head: str, kind: str, text: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {text}")
+
+    for name in NAMES:
+        create(f"{name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)", "FLOAT", body(name, "a", "b"))
+    create("encode_blob(v ARRAY<FLOAT>)", "BINARY", codec.ENCODE_SQL)
+    create("decode_blob(v BINARY)", "ARRAY<FLOAT>", codec.DECODE_SQL)
+    create("blob_to_base64(v BINARY)", "STRING", r"replace(base64(v), '\r\n', '')")
+    create("base64_to_blob(v STRING)", "BINARY", "to_binary(v, 'base64')")

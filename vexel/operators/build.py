@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexel.operators import kernels
 from vexel.plans.options import MAX_DIMENSIONS, IndexError_, IndexOptions, cluster_count
 
-#: Share of a row group's rows that train its centroids, rows from which only this share is used, and bytes at most.
+#: Share of a row group's rows that train its centroids, rows from which only this share is used, and bytes at most.
 SAMPLE, ALL_BELOW, SAMPLE_BYTES = 0.3, 30_720, 512 << 20
+#: Rows of a Parquet page of codes, so that readers skip the pages of clusters that aren't probed.
+PAGE_ROWS = 512
 #: Columns of the table of codes; given to readers, it saves them a look at the files.
 CODES = "row_group_id long, cluster_id int, row_id long, q_base double, q_scale double, code binary"
 
@@ -33,12 +35,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1).astype(np.float32, copy=False)
 
 
-def facts(base: DataFrame) -> tuple[int, int]:
-    """(rows with a vector, dimensions) of base (row_id, vec); checks lengths."""
+def facts(base: DataFrame) -> dict:
+    """Facts of base (row_id, vec): n rows with a vector, low and high length, first and last key; checks lengths and keys."""
     size = F.size("vec")
-    row = base.where("vec IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.max(F.exists("vec", lambda x: x.isNull())).alias("holes")).first()
+    row = base.where("vec IS NOT NULL").agg(
+        F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.max(F.exists("vec", lambda x: x.isNull())).alias("holes"),
+        F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count("row_id").alias("keys"),
+    ).first()
     if not row["n"]:
         raise IndexError_("an index can't be made on an empty table")
+    if row["keys"] < row["n"] or row["first"] < 0:
+        raise IndexError_("keys must be neither NULL nor negative")
     if row["low"] != row["high"]:
         raise IndexError_(f"vectors differ in length: {row['low']} to {row['high']}")
     if row["holes"]:
@@ -47,7 +54,17 @@ def facts(base: DataFrame) -> tuple[int, int]:
         raise IndexError_(f"the length of indexed vectors must be at most {MAX_DIMENSIONS}, got {row['high']}")
     if row["high"] == 0:
         raise IndexError_("indexed vectors must not be empty")
-    return row["n"], row["high"]
+    if not base.where("vec IS NOT NULL").groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise IndexError_("keys must be unique")
+    return row.asDict()
+
+
+def row_group(found: dict, size: int) -> Column:
+    """Row group of a key: ranges of keys where these are dense; where they leave gaps, groups of about ``size`` rows by hash."""
+    groups = -(-found["n"] // size)
+    if found["last"] // size - found["first"] // size + 1 <= 2 * groups + 1:
+        return F.expr(f"row_id div {size}")
+    return F.pmod(F.xxhash64("row_id"), F.lit(groups)).cast("long")
 
 
 def row_group_facts(rows: DataFrame, options: IndexOptions) -> DataFrame:
@@ -64,16 +81,19 @@ def row_group_facts(rows: DataFrame, options: IndexOptions) -> DataFrame:
             low, high = np.full(len(names), np.inf), np.full(len(names), -np.inf)
             np.minimum.at(low, at, x.min(1))
             np.maximum.at(high, at, x.max(1))
-            columns = [pa.array(c) for c in (names, np.bincount(at).astype(np.int64), low, high)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_group_id", "n", "low", "high"])
+            first = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(first, at, batch.column("row_id").to_numpy())
+            columns = [pa.array(c) for c in (names, np.bincount(at).astype(np.int64), low, high, first)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_group_id", "n", "low", "high", "first"])
 
-    found = rows.mapInArrow(run, "row_group_id long, n long, low double, high double").groupBy("row_group_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    parts = rows.mapInArrow(run, "row_group_id long, n long, low double, high double, first long")
+    found = parts.groupBy("row_group_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"))
     rule = F.when(F.col("n") < 2048, 1).when(F.col("n") < 30_720, cluster_count(2048)).otherwise(cluster_count(30_720))
     wanted = rule if options.clusters_per_row_group is None else F.least(F.lit(options.clusters_per_row_group).cast("long"), F.col("n"))
     u8 = options.quantization.value == "u8"
     base = F.col("low") if u8 else F.lit(0.0)
     scale = F.when(F.col("high") > F.col("low"), F.lit(float(kernels.MAX_CODE)) / (F.col("high") - F.col("low"))).otherwise(F.lit(1.0)) if u8 else F.lit(1.0)
-    return found.select("row_group_id", "n", wanted.cast("int").alias("clusters"), base.alias("q_base"), scale.alias("q_scale"))
+    return found.select("row_group_id", "n", "first", wanted.cast("int").alias("clusters"), base.alias("q_base"), scale.alias("q_scale"))
 
 
 def train(rows: DataFrame, groups: DataFrame, dimensions: int, options: IndexOptions) -> DataFrame:
@@ -84,7 +104,7 @@ def train(rows: DataFrame, groups: DataFrame, dimensions: int, options: IndexOpt
     share = F.least(F.when(F.col("n") < ALL_BELOW, F.lit(1.0)).otherwise(F.lit(SAMPLE)), F.lit(float(most)) / F.col("n"))
     # one vector suffices where there is one cluster
     share = F.when(F.col("clusters") == 1, F.least(F.lit(1.0), F.lit(64.0) / F.col("n"))).otherwise(share)
-    sample = rows.join(groups.select("row_group_id", "n", "clusters"), "row_group_id").where((place < share) | (F.col("row_id") == F.col("row_group_id") * options.row_group_size))
+    sample = rows.join(groups.select("row_group_id", "n", "first", "clusters"), "row_group_id").where((place < share) | (F.col("row_id") == F.col("first")))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("row_id")
@@ -137,13 +157,14 @@ def assign(rows: DataFrame, groups: DataFrame, centroids: DataFrame, options: In
 def build(base: DataFrame, path: str, options: IndexOptions) -> dict:
     """Writes the index of base (row_id, vec) under path; gives its facts."""
     spark = base.sparkSession
-    n, dimensions = facts(base)
-    rows = base.where("vec IS NOT NULL").select(F.expr(f"row_id div {options.row_group_size}").alias("row_group_id"), "row_id", "vec")
+    found = facts(base)
+    n, dimensions = found["n"], found["high"]
+    rows = base.where("vec IS NOT NULL").select(row_group(found, options.row_group_size).alias("row_group_id"), "row_id", "vec")
     row_group_facts(rows, options).write.mode("overwrite").parquet(f"{path}/row_groups")
     groups = spark.read.parquet(f"{path}/row_groups")
     train(rows, groups, dimensions, options).write.mode("overwrite").parquet(f"{path}/trained")
     trained = spark.read.parquet(f"{path}/trained")
-    assign(rows, groups, trained, options).sortWithinPartitions("row_group_id", "cluster_id", "row_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/codes")
+    assign(rows, groups, trained, options).sortWithinPartitions("row_group_id", "cluster_id", "row_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/codes")
     sizes = spark.read.parquet(f"{path}/codes").groupBy("row_group_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     counted = trained.join(sizes, ["row_group_id", "cluster_id"], "left").select("row_group_id", "cluster_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "centroid")
     counted.sortWithinPartitions("row_group_id", "cluster_id").write.mode("overwrite").parquet(f"{path}/centroids")

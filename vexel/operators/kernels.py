@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Largest code of the 8-bit quantizer.
@@ -14,8 +16,9 @@ def normalized(x: np.ndarray) -> np.ndarray:
     return (x / np.where(length == 0, 1, length)).astype(np.float32)
 
 
+@lru_cache(maxsize=4)
 def rotation(dimensions: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix."""
+    """A random orthogonal matrix, made once in a process."""
     q, r = np.linalg.qr(np.random.default_rng(seed & 0xFFFFFFFF).normal(size=(dimensions, dimensions)))
     return (q * np.sign(np.diag(r))).astype(np.float32)
 

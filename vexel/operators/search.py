@@ -1,9 +1,12 @@
 """Top-k search: exact, over an index, and over an index with a filter.
 
 Unfiltered: the nearest ``n_probe`` clusters of every row group are read, each partition keeps its k best, and a global
-limit merges them. Filtered: the first round probes ``n_probe`` clusters of every row group, each further round five more,
-until k rows that pass have been met; the round in which that happens follows from counts alone, so one job counts and
-one job searches. Rows found are joined back and ordered by exact distance.
+limit merges them. Filtered: the first round probes ``n_probe`` clusters of every row group, which mostly meets k rows that
+pass, and then nothing else is read. Where it doesn't, each further round probes five more; the round in which k rows are
+met follows from counts of the remaining clusters, so that one more job counts and one more searches. The ids found, k and
+the offset at most, go to the table's scan as a filter, and its rows are ordered by exact distance.
+
+Vectors that are NULL or hold NULL components are never found.
 """
 
 from __future__ import annotations
@@ -28,8 +31,13 @@ from vexel.plans.options import MOST_CLUSTERS, ROUND
 ARROW_FROM = 64 << 20
 #: Clusters up to this many are ranked on the driver; beyond, by a window over the centroids.
 RANKED_ON_DRIVER = 50_000
-#: Different clusters up to this many are pushed to the scan as a list.
-PUSHED = 500
+#: Pairs of row group and cluster, and ids, up to this many are pushed to a scan one by one; beyond, as sets.
+PUSHED = 1000
+#: Values that Parquet readers compare one by one in a list; of longer lists they take the range only.
+LIST = 10
+#: Ids up to this many are collected, and ids of passing rows up to this many are broadcast (8 bytes each).
+COLLECTED = 5000
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass
@@ -87,10 +95,13 @@ def exact(plan: SearchPlan) -> DataFrame:
         measured = rows.withColumn("distance", BY_METRIC[plan.metric](F.col(plan.vector), q))
         if plan.blob and plan.metric == "cosine":
             measured = measured.withColumn("distance", F.when(F.isnan("distance"), F.lit(2.0)).otherwise(F.col("distance")))
+        measured = measured.where(F.col("distance").isNotNull())  # a NULL component
         return measured.orderBy(*order).limit(plan.k + plan.offset).offset(plan.offset) if plan.offset else measured.orderBy(*order).limit(plan.k)
     found = rows.select(F.col(plan.key).alias("row_id"), F.col(plan.vector).alias("vec")).mapInArrow(exact_top(plan.metric, plan.query, plan.k + plan.offset, plan.blob), "row_id long, distance double")
     best = found.orderBy("distance", "row_id").limit(plan.k + plan.offset)
-    return rejoin(plan, best)
+    if plan.k + plan.offset <= COLLECTED:
+        return fetched(plan, [r["row_id"] for r in best.collect()])
+    return measured_rows(plan, plan.table.join(best.select(F.col("row_id").alias(plan.key)), plan.key, "left_semi"))
 
 
 def exact_top(metric: str, query: np.ndarray, k: int, blob: bool):
@@ -102,14 +113,10 @@ def exact_top(metric: str, query: np.ndarray, k: int, blob: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column("vec")).astype(np.float64)
-            if metric == "l2sq":
-                d = np.sqrt(((x - q) ** 2).sum(1))
-            elif metric == "ip":
-                d = -(x @ q)
-            else:
-                norm = np.sqrt((x * x).sum(1) * (q @ q))
-                d = np.where(norm == 0, 2.0 if blob else np.nan, 1 - np.clip((x @ q) / np.where(norm == 0, 1, norm), -1, 1))
+            batch = whole(batch, "vec")
+            if not batch.num_rows:
+                continue
+            d = distances(metric, matrix(batch.column("vec")).astype(np.float64), q, blob)
             d, i = np.append(best_d, d), np.append(best_i, batch.column("row_id").to_numpy())
             at = kernels.top(d, i, k)
             best_d, best_i = d[at], i[at]
@@ -118,11 +125,50 @@ def exact_top(metric: str, query: np.ndarray, k: int, blob: bool):
     return run
 
 
-def rejoin(plan: SearchPlan, best: DataFrame) -> DataFrame:
-    """Rows of the table for the ids found (k + offset at most), by exact distance, less the offset."""
-    # limited to k + offset rows: a size the caller has set
-    ids = F.broadcast(best.select(F.col("row_id").alias("__row_id")))
-    rows = plan.table.join(ids, F.col(plan.key) == F.col("__row_id")).drop("__row_id")
+def whole(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
+    """The rows whose list holds no NULL."""
+    column = batch.column(name)
+    flat = column.flatten()
+    if not flat.null_count:
+        return batch
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    bad = np.zeros(len(column), bool)
+    bad[np.repeat(np.arange(len(column)), lengths)[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+    return batch.filter(pa.array(~bad))
+
+
+def distances(metric: str, x: np.ndarray, q: np.ndarray, blob: bool = False) -> np.ndarray:
+    """Exact distance of each row of x to q."""
+    if metric == "l2sq":
+        return np.sqrt(((x - q) ** 2).sum(1))
+    if metric == "ip":
+        return -(x @ q)
+    norm = np.sqrt((x * x).sum(1) * (q @ q))
+    return np.where(norm == 0, 2.0 if blob else np.nan, 1 - np.clip((x @ q) / np.where(norm == 0, 1, norm), -1, 1))
+
+
+def among(name: str, values: list[int]) -> Column:
+    """Whether the column has one of the values, as lists short enough for Parquet statistics; long lists as one set."""
+    values = sorted(values)
+    if len(values) > PUSHED:
+        return F.col(name).isin(values)
+    return _any([F.col(name).isin(values[i : i + LIST]) for i in range(0, len(values), LIST)])
+
+
+def _any(terms: list[Column]) -> Column:
+    """The terms joined by OR, as a balanced tree."""
+    if not terms:
+        return F.lit(False)
+    half = len(terms) // 2
+    return terms[0] if len(terms) == 1 else _any(terms[:half]) | _any(terms[half:])
+
+
+def fetched(plan: SearchPlan, ids: list[int]) -> DataFrame:
+    """Rows of the table with these ids, which go to its scan, by exact distance, less the offset."""
+    return measured_rows(plan, plan.table.where(among(plan.key, ids))) if ids else _empty(plan)
+
+
+def measured_rows(plan: SearchPlan, rows: DataFrame) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in plan.query.astype(np.float32)))
     ordered = rows.withColumn("distance", BY_METRIC[plan.metric](F.col(plan.vector), q)).orderBy("distance", plan.key)
     return ordered.offset(plan.offset) if plan.offset else ordered
@@ -152,22 +198,23 @@ def ranked(spark: SparkSession, plan: SearchPlan, query: np.ndarray) -> DataFram
     return measured.select("row_group_id", "cluster_id", (F.row_number().over(order) - 1).cast("long").alias("rank"))
 
 
-def with_ranks(spark: SparkSession, plan: SearchPlan, query: np.ndarray, codes: DataFrame, below: int | None) -> DataFrame:
-    """codes with the rank of their cluster, less those of rank ``below`` and up.
+def with_ranks(spark: SparkSession, plan: SearchPlan, query: np.ndarray, codes: DataFrame, low: int, high: int | None) -> DataFrame:
+    """codes with the rank of their cluster, those of rank ``low`` up to, not including, ``high``.
 
-    Clusters ranked on the driver are few (RANKED_ON_DRIVER), so their table is broadcast, and row groups and clusters
-    go to the scan as well where they make a short list.
+    Clusters ranked on the driver are few (RANKED_ON_DRIVER), so their table is broadcast; row groups and clusters go to the
+    scan as pairs where they are few, else the clusters alone.
     """
     if plan.index["clusters"] > RANKED_ON_DRIVER:
-        ranks = ranked(spark, plan, query)
-        return codes.join(ranks if below is None else ranks.where(F.col("rank") < below), ["row_group_id", "cluster_id"])
+        ranks = ranked(spark, plan, query).where(F.col("rank") >= low)
+        return codes.join(ranks if high is None else ranks.where(F.col("rank") < high), ["row_group_id", "cluster_id"])
     ranks = ranked_on_driver(spark, plan, query)
-    ranks = ranks if below is None else ranks[ranks["rank"] < below]
-    few = sorted(set(ranks["cluster_id"].tolist()))
-    if below is not None and len(few) <= PUSHED:
-        codes = codes.where(F.col("cluster_id").isin(few))
-    if below is not None and plan.index["row_groups"] == 1 and len(few) <= PUSHED:
-        return codes
+    ranks = ranks[(ranks["rank"] >= low) & (ranks["rank"] < (MOST_CLUSTERS if high is None else high))]
+    if len(ranks) < plan.index["clusters"]:
+        if len(ranks) <= PUSHED:
+            groups = ranks.groupby("row_group_id")["cluster_id"]
+            codes = codes.where(_any([(F.col("row_group_id") == int(g)) & among("cluster_id", own.tolist()) for g, own in groups]))
+        else:
+            codes = codes.where(among("cluster_id", sorted(set(ranks["cluster_id"].tolist()))))
     return codes.join(F.broadcast(spark.createDataFrame(ranks, "row_group_id long, cluster_id int, rank long")), ["row_group_id", "cluster_id"])
 
 
@@ -220,19 +267,25 @@ def indexed(plan: SearchPlan) -> DataFrame:
     first = MOST_CLUSTERS if plan.n_probe == 0 or plan.n_probe > MOST_CLUSTERS else plan.n_probe
     every = plan.n_probe == 0
     u8 = meta["quantization"] == "u8"
+
+    def best(found: DataFrame) -> list[Row]:
+        top = found.select("row_id", "q_base", "q_scale", "code").mapInArrow(code_top(query, u8, k), "row_id long, distance double")
+        return top.orderBy("distance", "row_id").limit(k).collect()
+
+    probed = codes if every else with_ranks(spark, plan, query, codes, 0, first)
     if plan.predicate is None:
-        found = codes if every else with_ranks(spark, plan, query, codes, first)
-    else:
-        passing = plan.table.where(plan.predicate).select(F.col(plan.key).alias("row_id"))
-        found = codes.join(passing, "row_id", "left_semi")
-        if not every:
-            number = F.when(F.col("rank") < first, 0).otherwise(1 + F.floor((F.col("rank") - first) / ROUND))
-            numbered = with_ranks(spark, plan, query, found, None).withColumn("round", number.cast("long"))
-            counts = numbered.groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()
-            stop = last_round([(r["round"], r["n"]) for r in counts], k)
-            found = numbered if stop is None else numbered.where(F.col("round") <= stop)
-    best = found.select("row_id", "q_base", "q_scale", "code").mapInArrow(code_top(query, u8, k), "row_id long, distance double")
-    return rejoin(plan, best.orderBy("distance", "row_id").limit(k))
+        return fetched(plan, [r["row_id"] for r in best(probed)])
+    passing = plan.table.where(plan.predicate).select(F.col(plan.key).cast("long").alias("row_id"))
+    if passing.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        passing = F.broadcast(passing)
+    met = best(probed.join(passing, "row_id", "left_semi"))
+    if len(met) < k and not every and first < MOST_CLUSTERS:
+        rest = with_ranks(spark, plan, query, codes, first, None).withColumn("round", 1 + F.floor((F.col("rank") - first) / ROUND))
+        counts = rest.select("row_id", "round").join(passing, "row_id", "left_semi").groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()
+        stop = last_round([(0, len(met)), *((r["round"], r["n"]) for r in counts)], k)
+        more = with_ranks(spark, plan, query, codes, first, None if stop is None else first + ROUND * stop)
+        met = sorted([*met, *best(more.join(passing, "row_id", "left_semi"))], key=lambda r: (r["distance"], r["row_id"]))[:k]
+    return fetched(plan, [r["row_id"] for r in met])
 
 
 def execute(plan: SearchPlan) -> DataFrame:
@@ -241,14 +294,45 @@ def execute(plan: SearchPlan) -> DataFrame:
     return exact(plan) if plan.index is None else indexed(plan)
 
 
+#: Bytes of vectors in a part of a batch search, and cells of a block of distances.
+PART_BYTES, CELLS = 32 << 20, 4 << 20
+UNKNOWN = 1 << 60
+
+
+def nearest_of(metric: str, x: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int):
+    """For each query, (places, distances) of its k nearest rows: a matrix product chooses, exact distances decide."""
+    squares = (x * x).sum(1)
+    step = max(1, CELLS // max(1, len(x)))
+    for at in range(0, len(queries), step):
+        part = queries[at : at + step]
+        products = part @ x.T
+        for q, dots in zip(part, products):
+            size = q @ q
+            if metric == "l2sq":
+                rough, slack = squares + size - 2 * dots, 1e-9 * (squares.max() + size)
+            elif metric == "ip":
+                rough, slack = -dots, 1e-9 * (np.sqrt(squares.max() * size) + 1)
+            else:
+                norm = np.sqrt(squares * size)
+                rough, slack = np.where(norm == 0, np.inf, 1 - dots / np.where(norm == 0, 1, norm)), 1e-9
+            near = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + slack) if k < len(rough) else np.arange(len(rough))
+            d = distances(metric, x[near], q)
+            best = kernels.top(d, own[near], k)
+            yield near[best], d[best]
+
+
 def batch_exact(table: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, metric: str, k: int) -> DataFrame:
     """query_id, row_id, distance, rank: the k nearest rows of each query.
 
-    Queries come in blocks of 256 and go to every partition of the table; each partition keeps k rows a query.
+    The table is dealt into parts of some PART_BYTES by a hash of its key; every query goes to every part, whose task holds
+    the part and computes blocks of distances; each part keeps k rows a query.
     """
     rows = table.where(F.col(vector).isNotNull()).select(F.col(key).alias("row_id"), F.col(vector).alias("vec"))
     asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("q"))
-    parts = max(1, rows.rdd.getNumPartitions())
+    size = size_in_bytes(rows)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # tables that are no files have no known size
+    parts = cores if size > UNKNOWN else max(1, -(-size // PART_BYTES), min(cores, size >> 20))
     blocks = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     left = rows.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int")).select("part", F.lit(0).alias("kind"), F.col("row_id").alias("id"), F.col("vec").alias("v"))
     both = left.unionByName(blocks.select("part", F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("q").alias("v"))).repartition(parts, "part").sortWithinPartitions("part", "kind")
@@ -256,6 +340,7 @@ def batch_exact(table: DataFrame, key: str, vector: str, queries: DataFrame, que
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, xs, held = None, [], [], None
         for batch in batches:
+            batch = whole(batch, "v")
             part, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
             edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip(np.append(0, edges), np.append(edges, len(part))):
@@ -273,20 +358,9 @@ def batch_exact(table: DataFrame, key: str, vector: str, queries: DataFrame, que
                     continue
                 held = (np.concatenate(ids), np.concatenate(xs)) if held is None else held
                 own, x = held
-                out_q, out_i, out_d = [], [], []
-                for q_id, q in zip(i, v):
-                    if metric == "l2sq":
-                        d = np.sqrt(((x - q) ** 2).sum(1))
-                    elif metric == "ip":
-                        d = -(x @ q)
-                    else:
-                        norm = np.sqrt((x * x).sum(1) * (q @ q))
-                        d = np.where(norm == 0, np.nan, 1 - np.clip((x @ q) / np.where(norm == 0, 1, norm), -1, 1))
-                    at = kernels.top(d, own, k)
-                    out_q.append(np.full(len(at), q_id))
-                    out_i.append(own[at])
-                    out_d.append(d[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_i, out_d)], names=["query_id", "row_id", "distance"])
+                found = list(nearest_of(metric, x, own, v, k))
+                columns = (np.repeat(i, [len(at) for at, _ in found]), np.concatenate([own[at] for at, _ in found]), np.concatenate([d for _, d in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "row_id", "distance"])
 
     found = both.mapInArrow(run, "query_id long, row_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "row_id")

@@ -61,28 +61,28 @@ def parse(given: dict) -> IndexOptions:
         if name in ("metric", "quantization"):
             kind = Metric if name == "metric" else Quantization
             if not isinstance(value, str):
-                raise IndexError_(f"index option '{name}' must be a string")
+                raise IndexError_(f"{name} takes a name in quotes")
             if value not in [m.value for m in kind]:
-                raise IndexError_(f"index option '{name}' must be one of: " + ", ".join(f"'{m.value}'" for m in kind))
+                raise IndexError_(f"{name} knows only " + " and ".join(f"'{m.value}'" for m in kind))
             out[name] = kind(value)
         elif name == "n_probe":
             if not is_int(value) or abs(value) > SEEDS + 1:
-                raise IndexError_("index option 'n_probe' must be an integer")
+                raise IndexError_("n_probe takes a whole number")
             if value < 0:
-                raise IndexError_(f"index option 'n_probe' must be at least 0, default is {DEFAULT_N_PROBE}")
+                raise IndexError_(f"n_probe counts clusters and can't be negative; without it {DEFAULT_N_PROBE} are probed")
             out[name] = value
         elif name == "seed":
             if not is_int(value) or abs(value) > SEEDS:
-                raise IndexError_(f"index option 'seed' must be between -{SEEDS} and {SEEDS}, inclusive")
+                raise IndexError_(f"seed takes a whole number from -{SEEDS} to {SEEDS}")
             out[name] = value
         elif name in ("row_group_size", "clusters_per_row_group"):
             if not is_int(value) or value < 1:
-                raise IndexError_(f"index option '{name}' must be a positive integer")
+                raise IndexError_(f"{name} takes a whole number from 1 on")
             out[name] = value
         elif name == "rotate":
             out[name] = bool(value)
         else:
-            raise IndexError_(f"unknown index option: '{key}'")
+            raise IndexError_(f"indexes have no option '{key}'")
     return IndexOptions(**out)
 
 

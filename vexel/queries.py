@@ -170,9 +170,14 @@ def u8_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select(F.col("row_id").alias("vec_id"), F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(values).cast("long").alias("n"))
 
 
+#: Times the table's rows, for the rule of clusters.
+FACTORS = (1, 4, 5, 61, 62, 240, 250)
+
+
 def cluster_count_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = [1, 2047, 2048, 30719, 30720, 40000, 122880]
-    return spark.createDataFrame([(n, cluster_count(n)) for n in sizes], "n long, clusters long")
+    """Clusters of row groups of several times the table's rows."""
+    rows = table(spark, sf_dir).count()
+    return spark.createDataFrame([(rows * f, cluster_count(rows * f)) for f in FACTORS], "n long, clusters long")
 
 
 def recall_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +208,119 @@ def recall_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_info_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, _ = engine(spark, sf_dir)
     e.create_index("idx", "embeddings_indexed", "embedding", metric="cosine", n_probe=7, seed=-5)
-    return e.sql("CALL vexel_index_info()").drop("approx_lower_bound_memory_usage_bytes")
+    return e.sql("CALL vexel_index_info()").withColumnRenamed("approx_lower_bound_memory_usage_bytes", "size")
+
+
+def index_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two indexes, listed, with the size of their elements by quantization."""
+    e, _ = engine(spark, sf_dir)
+    for name, quantization in (("narrow", "u8"), ("plain", "f32")):
+        e.create_index(name, "embeddings_indexed", "embedding", quantization=quantization, **SMALL)
+    sizes = e.index_info().select("index_name", F.col("approx_lower_bound_memory_usage_bytes").alias("size"))
+    return e.sql("FROM vexel_indexes()").join(sizes, "index_name")
+
+
+def index_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What EXPLAIN says of an indexed, a filtered and an exact search: kind of scan, clusters, row groups."""
+    e, q = engine(spark, sf_dir)
+    e.create_index("idx", "embeddings_indexed", "embedding", **SMALL)
+    literal = ", ".join(str(x) for x in q)
+    texts = {"indexed": f"embedding <-> [{literal}]", "exact": f"embedding <=> [{literal}]"}
+    plans = None
+    for case, where in (("indexed", ""), ("indexed", "WHERE label < 3 "), ("exact", "")):
+        plan = e.sql(f"EXPLAIN SELECT vec_id FROM embeddings_indexed {where}ORDER BY {texts[case]} LIMIT 5")
+        plans = plan if plans is None else plans.union(plan)
+    number = lambda name: F.regexp_extract("plan", rf"{name}: (\d+)", 1).try_cast("long")
+    return plans.select(F.substring_index("plan", "\n", 1).alias("scan"), number("Total Clusters").alias("clusters"), number("Row Groups").alias("row_groups"))
+
+
+def ann_pruned(metric: str, n_probe: int, k: int, where: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """Few clusters probed, over vectors that lie apart by label: the neighbours of row 0 are in the clusters probed."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, _ = engine(spark, sf_dir)
+        apart = F.concat("embedding", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(F.col("label") == i, 20.0).otherwise(0.0).cast("float")))
+        df = e.register_table("apart", table(spark, sf_dir).select("vec_id", "label", apart.alias("embedding")), "vec_id")
+        q = df.where("vec_id = 0").first()["embedding"]
+        e.create_index("idx", "apart", "embedding", metric=metric, quantization="f32", row_group_size=1000, clusters_per_row_group=20, seed=1)
+        return shown(e.search("apart", "embedding", q, k, metric, where=where, n_probe=n_probe))
+
+    return run
+
+
+#: name: (metric, n_probe, k, predicate); k is below the rows that have row 0's label.
+PRUNED: dict[str, tuple] = {
+    "ann_pruned_l2": ("l2sq", 5, 15, None),
+    "ann_pruned_cosine": ("cosine", 4, 15, None),
+    "ann_pruned_filtered": ("l2sq", 5, 10, "vec_id % 2 = 0"),
+}
+
+
+def pruned_sql(metric: str, n_probe: int, k: int, where: str | None = None) -> str:
+    labels = ", ".join(f"CASE WHEN label = {i} THEN 20 ELSE 0 END" for i in range(10))
+    apart = f"list_concat(CAST(embedding AS DOUBLE[]), CAST([{labels}] AS DOUBLE[]))"
+    return top_sql(metric, k, 0, where).replace("FROM embeddings", f"FROM (SELECT vec_id, label, {apart} AS embedding FROM embeddings)")
+
+
+def null_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vector is NULL are neither indexed nor found."""
+    e, q = engine(spark, sf_dir)
+    e.register_table("holes", table(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 3 != 1, F.col("embedding")).alias("embedding")), "vec_id")
+    e.create_index("idx", "holes", "embedding", quantization="f32", **SMALL)
+    return shown(e.search("holes", "embedding", q, 12, n_probe=0))
+
+
+def null_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vector holds a NULL component are not found."""
+    e, q = engine(spark, sf_dir)
+    holed = F.transform("embedding", lambda x, i: F.when((i == 5) & (F.col("vec_id") % 4 == 2), None).otherwise(x))
+    e.register_table("holed", table(spark, sf_dir).select("vec_id", holed.alias("embedding")), "vec_id")
+    return shown(e.search("holed", "embedding", q, 12, "cosine"))
+
+
+def high_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit beyond the indexed ones: exact, whatever the index probes."""
+    e, q = engine(spark, sf_dir)
+    e.create_index("idx", "embeddings_indexed", "embedding", n_probe=1, **SMALL)
+    return shown(e.search("embeddings_indexed", "embedding", q, 6000))
+
+
+def changed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another table under an indexed name: the search goes without the stale index."""
+    e, q = engine(spark, sf_dir)
+    e.create_index("idx", "embeddings_indexed", "embedding", n_probe=1, **SMALL)
+    e.register_table("embeddings_indexed", table(spark, sf_dir).where("vec_id >= 40"), "vec_id")
+    return shown(e.search("embeddings_indexed", "embedding", q, 10))
+
+
+def sparse_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys a million apart: still few row groups, and all rows are found."""
+    e, q = engine(spark, sf_dir)
+    e.register_table("sparse", table(spark, sf_dir).withColumn("vec_id", F.col("vec_id") * 1_000_003), "vec_id")
+    e.create_index("idx", "sparse", "embedding", quantization="f32", **SMALL)
+    groups = e.registry.entries["idx"]["row_groups"]
+    return shown(e.search("sparse", "embedding", q, 10, n_probe=0).withColumn("row_groups", F.lit(groups)), "row_groups")
+
+
+def sql_order(order: str, operator: str = "<->") -> Callable[[SparkSession, str], DataFrame]:
+    """Orders that no index serves, and the operator that one does."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, q = engine(spark, sf_dir)
+        call = f"embedding {operator} [{', '.join(str(x) for x in q)}]"
+        found = e.sql(f"SELECT vec_id, label, {call} AS distance FROM embeddings_indexed ORDER BY {order.format(call)} LIMIT 9")
+        # the SQL functions give single precision
+        return found.select("vec_id", "label", F.round(F.col("distance").cast("double"), 4).alias("distance"))
+
+    return run
+
+
+#: name: (order, the order in DuckDB's SQL)
+ORDERS = {
+    "sql_operator_l2": ("{}", "d, vec_id"),
+    "sql_descending": ("{} DESC, vec_id", "d DESC, vec_id"),
+    "sql_label_first": ("label, {}, vec_id", "label, d, vec_id"),
+}
 
 
 def index_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +348,8 @@ def knn_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMED = (
     filtered_rounds, filtered_rowid, sql_topk, blob_encode_words, blob_decode, blob_roundtrip_error, base64_roundtrip, row_group_ids, u8_params, u8_codes,
-    cluster_count_rule, recall_monotonic, recall_u8, index_info_static, index_drop, knn_label_vote, knn_self_join,
+    cluster_count_rule, recall_monotonic, recall_u8, index_info_static, index_listing, index_explain, index_drop, null_vectors, null_components, high_limit,
+    changed_table, sparse_keys, knn_label_vote, knn_self_join,
 )
 BLOBS = {"blob_distance_left": ("l2sq", True), "blob_distance_right": ("l2sq", False), "blob_cosine": ("cosine", True), "blob_negative_inner_product": ("ip", False)}
 
@@ -239,6 +357,8 @@ BLOBS = {"blob_distance_left": ("l2sq", True), "blob_distance_right": ("l2sq", F
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: top(metric, k, offset, where, **index) for name, (metric, k, offset, where, index) in TOPS.items()}
     out |= {f.__name__: f for f in NAMED}
+    out |= {name: ann_pruned(*args) for name, args in PRUNED.items()}
+    out |= {name: sql_order(order) for name, (order, _) in ORDERS.items()}
     return out | {name: blob_distance(*args) for name, args in BLOBS.items()}
 
 
@@ -255,8 +375,20 @@ _GROUPS = "SELECT vec_id // 128 AS row_group_id, count(DISTINCT vec_id) AS n, mi
 def oracle_sql() -> dict[str, str]:
     out = {name: top_sql(metric, k, offset, where) for name, (metric, k, offset, where, _) in TOPS.items()}
     out |= {name: f"SELECT vec_id, round({SQL_METRIC[metric]}, 5) AS distance FROM embeddings, ({_BLOB_Q})" for name, (metric, _) in BLOBS.items()}
+    out |= {name: pruned_sql(*args) for name, args in PRUNED.items()}
+    l2 = "SELECT vec_id, label, list_distance(CAST(embedding AS DOUBLE[]), q) AS d FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+    out |= {name: f"SELECT vec_id, label, round(d, 4) AS distance FROM ({l2}) ORDER BY {order} LIMIT 9" for name, (_, order) in ORDERS.items()}
+    clusters = "CASE WHEN count(*) < 2048 THEN 1 WHEN count(*) < 30720 THEN 120 ELSE 480 END"
+    small = "SELECT count(*) AS row_groups, CAST(sum(least(10, n)) AS BIGINT) AS clusters, CAST(sum(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM embeddings GROUP BY vec_id // 128)"
     return out | {
-        "filtered_rounds": "SELECT CAST(p AS BIGINT) AS passing, least(50, CAST(p AS BIGINT)) AS found FROM (VALUES (0), (1), (5), (25), (49), (50), (51), (100), (400)) AS t(p)",
+        "null_vectors": top_sql("l2sq", 12, 0, "vec_id % 3 <> 1"),
+        "null_components": top_sql("cosine", 12, 0, "vec_id % 4 <> 2"),
+        "high_limit": top_sql("l2sq", 6000),
+        "changed_table": top_sql("l2sq", 10, 0, "vec_id >= 40"),
+        "sparse_keys": f"SELECT vec_id * 1000003 AS vec_id, distance, (SELECT CAST(ceil(count(*) / 128) AS BIGINT) FROM embeddings) AS row_groups FROM ({top_sql('l2sq', 10)})",
+        "index_listing": f"SELECT 'spark_catalog' AS catalog_name, 'default' AS schema_name, name AS index_name, 'embeddings_indexed' AS table_name, n * (64 * element + 8) + clusters * 64 * 4 AS size FROM ({small}), (VALUES ('narrow', 1), ('plain', 4)) AS t(name, element)",
+        "index_explain": f"SELECT scan, CASE WHEN scan <> 'EXACT_SCAN' THEN clusters END AS clusters, CASE WHEN scan <> 'EXACT_SCAN' THEN row_groups END AS row_groups FROM ({small}), (VALUES ('VECTOR_INDEX_SCAN'), ('VECTOR_INDEX_FILTERED_SCAN'), ('EXACT_SCAN')) AS t(scan)",
+        "filtered_rounds": "SELECT CAST(p AS BIGINT) AS passing, least(50, count(*) FILTER (vec_id < p)) AS found FROM embeddings, (VALUES (0), (1), (5), (25), (49), (50), (51), (100), (400)) AS t(p) GROUP BY p",
         "filtered_rowid": f"SELECT vec_id, vec_id AS row_id, distance FROM ({top_sql('l2sq', 10, 0, 'vec_id > 200')})",
         "sql_topk": f"SELECT e.vec_id, label, distance FROM ({top_sql('cosine', 7, 0, 'label < 5')}) t JOIN embeddings e ON e.vec_id = t.vec_id",
         "blob_encode_words": _HEX,
@@ -266,10 +398,10 @@ def oracle_sql() -> dict[str, str]:
         "row_group_ids": "SELECT vec_id // 128 AS row_group_id, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY 1",
         "u8_params": f"SELECT row_group_id, n, round(low, 6) AS q_base, round(255 / (high - low), 4) AS q_scale FROM ({_GROUPS})",
         "u8_codes": f"SELECT vec_id, CAST(sum(least(255, greatest(0, round((x - low) * (255 / (high - low)))))) AS BIGINT) AS total, count(*) AS n FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) e JOIN ({_GROUPS}) g ON e.vec_id // 128 = g.row_group_id GROUP BY vec_id",
-        "cluster_count_rule": "SELECT CAST(n AS BIGINT) AS n, CAST(CASE WHEN n < 2048 THEN 1 WHEN n < 30720 THEN 120 ELSE 480 END AS BIGINT) AS clusters FROM (VALUES (1), (2047), (2048), (30719), (30720), (40000), (122880)) AS t(n)",
+        "cluster_count_rule": f"SELECT n, CAST(CASE WHEN n < 2048 THEN 1 WHEN n < 30720 THEN 120 ELSE 480 END AS BIGINT) AS clusters FROM (SELECT count(*) * f AS n FROM embeddings, (VALUES {', '.join(f'({f})' for f in FACTORS)}) AS t(f) GROUP BY f)",
         "recall_monotonic": "SELECT true AS rises, true AS pruned, true AS complete",
         "recall_u8": "SELECT 'l2sq' AS metric, true AS good UNION ALL SELECT 'cosine', true",
-        "index_info_static": "SELECT 'spark_catalog' AS catalog_name, 'default' AS schema_name, 'idx' AS index_name, 'embeddings_indexed' AS table_name, 'cosine' AS metric, CAST(64 AS BIGINT) AS num_dimensions, 'u8' AS quantization, CAST(7 AS BIGINT) AS n_probe, CAST(-5 AS BIGINT) AS seed, true AS is_normalized",
+        "index_info_static": "SELECT 'spark_catalog' AS catalog_name, 'default' AS schema_name, 'idx' AS index_name, 'embeddings_indexed' AS table_name, 'cosine' AS metric, CAST(64 AS BIGINT) AS num_dimensions, 'u8' AS quantization, CAST(7 AS BIGINT) AS n_probe, CAST(-5 AS BIGINT) AS seed, true AS is_normalized, count(*) * 72 + " + clusters + " * 256 AS size FROM embeddings",
         "index_drop": "SELECT CAST(1 AS BIGINT) AS before, CAST(0 AS BIGINT) AS after",
         "knn_label_vote": f"SELECT CAST(label AS BIGINT) AS label, count(*) AS votes FROM ({top_sql('l2sq', 25)}) t JOIN embeddings e ON e.vec_id = t.vec_id GROUP BY 1",
         "knn_self_join": "SELECT query_id, vec_id, rank, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS rank, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rank <= 3",

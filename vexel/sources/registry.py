@@ -9,7 +9,7 @@ from vexel.plans.options import IndexError_
 META = (
     "catalog_name string, schema_name string, index_name string, table_name string, column_name string, key_name string, metric string,"
     " num_dimensions bigint, quantization string, n_probe bigint, seed bigint, is_normalized boolean, rotate boolean, row_group_size bigint,"
-    " row_groups bigint, clusters bigint, bytes bigint, created bigint"
+    " row_groups bigint, clusters bigint, bytes bigint, created bigint, fingerprint string"
 )
 INFO = (
     "catalog_name string, schema_name string, index_name string, table_name string, metric string, num_dimensions bigint, quantization string,"
