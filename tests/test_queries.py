@@ -11,7 +11,8 @@ from vexel import queries
 CHECKED = [
     "exact_l2_topk", "exact_cosine_topk", "exact_neg_ip_topk", "topk_offset", "topk_limit0", "ann_multi_cluster_full", "ann_multi_cluster_offset", "filtered_or_composite",
     "filtered_k_gt_passing", "filtered_rowid", "sql_topk", "blob_encode_words", "blob_decode", "base64_roundtrip", "blob_distance_left", "blob_cosine", "row_group_ids", "u8_params", "u8_codes",
-    "knn_label_vote", "knn_self_join",
+    "knn_label_vote", "knn_self_join", "ann_pruned_l2", "ann_pruned_cosine", "ann_pruned_filtered", "null_vectors", "null_components", "high_limit", "changed_table", "sparse_keys",
+    "sql_operator_l2", "sql_descending", "sql_label_first", "index_listing", "index_explain", "index_info_static", "filtered_rounds", "cluster_count_rule",
 ]
 
 

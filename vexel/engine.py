@@ -23,10 +23,11 @@ from vexel.sources.registry import Registry
 
 
 def fingerprint(df: DataFrame) -> str:
-    """Tells a table's content from another's without reading rows: its files and their size, or its plan where it has none."""
+    """Tells a table's content from another's without reading rows: its plan, and its files and their size if it has any."""
     files = sorted(df.inputFiles())
     content = [*files, str(size_in_bytes(df))] if files else [str(df.semanticHash())]
-    return hashlib.sha256("\n".join([df.schema.simpleString(), *content]).encode()).hexdigest()
+    plan = df._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    return hashlib.sha256("\n".join([df.schema.simpleString(), plan, *content]).encode()).hexdigest()
 
 
 class Engine:

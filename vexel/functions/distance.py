@@ -49,7 +49,8 @@ def cosine_distance(a, b) -> Column:
     x, y = operand(a), operand(b)
     norms = F.sqrt(_sum(x, x, lambda p, q: p * q) * _sum(y, y, lambda p, q: p * q))
     cosine = _sum(x, y, lambda p, q: p * q) / norms
-    value = F.when(norms == 0, F.lit(2.0 if blob else math.nan)).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    # least and greatest would pass over the NULL that a NULL component makes
+    value = F.when(norms == 0, F.lit(2.0 if blob else math.nan)).when(cosine.isNull(), F.lit(None)).otherwise(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
     return _checked(x, y, value)
 
 
@@ -62,7 +63,7 @@ _AA, _BB, _AB = _DOT.format("{a}", "{a}"), _DOT.format("{b}", "{b}"), _DOT.forma
 _SQL = {
     "l2sq": "sqrt(aggregate(zip_with({a}, {b}, (p, q) -> (p - q) * (p - q)), 0D, (s, x) -> s + x))",
     "ip": f"-{_AB}",
-    "cosine": f"if({_AA} = 0 OR {_BB} = 0, double('NaN'), 1 - greatest(-1D, least(1D, {_AB} / sqrt({_AA} * {_BB}))))",
+    "cosine": f"if({_AA} = 0 OR {_BB} = 0, double('NaN'), {_AB} * 0 + 1 - greatest(-1D, least(1D, {_AB} / sqrt({_AA} * {_BB}))))",
 }
 
 
