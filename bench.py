@@ -24,13 +24,18 @@ def main() -> None:
     e = Engine(spark)
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     e.register_table("emb", df, "vec_id")
-    # the same vectors shifted a little, many times over: enough rows for full row groups and the default clusters
-    copies = 60
     n = df.count()
-    wide = df.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((F.col("vec_id") + F.col("id") * n).alias("vec_id"), F.transform("embedding", lambda x, i: (x + (F.pmod(F.xxhash64("vec_id", "id", i), F.lit(1000)) / 5000.0)).cast("float")).alias("embedding"))
-    path = f"{e.registry.root}/wide"
-    wide.repartition(int(cpus)).write.parquet(path)
-    e.register_table("wide", spark.read.parquet(path), "vec_id")
+
+    def many(name: str, copies: int) -> None:
+        """The same vectors shifted a little, many times over: enough rows for full row groups and the default clusters."""
+        each = df.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        moved = F.transform("embedding", lambda x, i: (x + (F.pmod(F.xxhash64("vec_id", "id", i), F.lit(1000)) / 5000.0)).cast("float"))
+        path = f"{e.registry.root}/{name}"
+        each.select((F.col("vec_id") + F.col("id") * n).alias("vec_id"), moved.alias("embedding")).repartitionByRange(int(cpus), "vec_id").sortWithinPartitions("vec_id").write.parquet(path)
+        e.register_table(name, spark.read.parquet(path), "vec_id")
+
+    many("wide", 60)
+    many("million", -(-1_000_000 // n))
     q = np.asarray(df.where("vec_id = 0").first()["embedding"], np.float32)
     seconds: dict[str, float] = {}
 
@@ -46,6 +51,13 @@ def main() -> None:
     timed("wide_ann_u8_top10", lambda: e.search("wide", "embedding", q, 10).collect())
     timed("wide_filtered_u8_top10", lambda: e.search("wide", "embedding", q, 10, where="vec_id % 10 = 3").collect())
     e.drop_index("u8")
+    some = "vec_id % 10 = 3"
+    timed("million_exact_l2_top10", lambda: e.search("million", "embedding", q, 10, use_index=False).collect())
+    timed("million_exact_filtered_top10", lambda: e.search("million", "embedding", q, 10, where=some, use_index=False).collect())
+    seconds["million_build_u8"] = round(_seconds(lambda: e.create_index("u8", "million", "embedding", seed=1)), 3)
+    timed("million_ann_u8_top10", lambda: e.search("million", "embedding", q, 10).collect())
+    timed("million_filtered_u8_top10", lambda: e.search("million", "embedding", q, 10, where=some).collect())
+    e.drop_index("u8")
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
     spark.stop()
