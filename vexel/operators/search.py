@@ -198,8 +198,8 @@ def ranked(spark: SparkSession, plan: SearchPlan, query: np.ndarray) -> DataFram
     return measured.select("row_group_id", "cluster_id", (F.row_number().over(order) - 1).cast("long").alias("rank"))
 
 
-def with_ranks(spark: SparkSession, plan: SearchPlan, query: np.ndarray, codes: DataFrame, low: int, high: int | None) -> DataFrame:
-    """codes with the rank of their cluster, those of rank ``low`` up to, not including, ``high``.
+def with_ranks(spark: SparkSession, plan: SearchPlan, query: np.ndarray, codes: DataFrame, low: int, high: int | None, named: bool = False) -> DataFrame:
+    """codes of clusters of rank ``low`` up to, not including, ``high``; with their rank if it is to be ``named``.
 
     Clusters ranked on the driver are few (RANKED_ON_DRIVER), so their table is broadcast; row groups and clusters go to the
     scan as pairs where they are few, else the clusters alone.
@@ -213,6 +213,8 @@ def with_ranks(spark: SparkSession, plan: SearchPlan, query: np.ndarray, codes:
         if len(ranks) <= PUSHED:
             groups = ranks.groupby("row_group_id")["cluster_id"]
             codes = codes.where(_any([(F.col("row_group_id") == int(g)) & among("cluster_id", own.tolist()) for g, own in groups]))
+            if not named:
+                return codes
         else:
             codes = codes.where(among("cluster_id", sorted(set(ranks["cluster_id"].tolist()))))
     return codes.join(F.broadcast(spark.createDataFrame(ranks, "row_group_id long, cluster_id int, rank long")), ["row_group_id", "cluster_id"])
@@ -280,7 +282,7 @@ def indexed(plan: SearchPlan) -> DataFrame:
         passing = F.broadcast(passing)
     met = best(probed.join(passing, "row_id", "left_semi"))
     if len(met) < k and not every and first < MOST_CLUSTERS:
-        rest = with_ranks(spark, plan, query, codes, first, None).withColumn("round", 1 + F.floor((F.col("rank") - first) / ROUND))
+        rest = with_ranks(spark, plan, query, codes, first, None, named=True).withColumn("round", 1 + F.floor((F.col("rank") - first) / ROUND))
         counts = rest.select("row_id", "round").join(passing, "row_id", "left_semi").groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()
         stop = last_round([(0, len(met)), *((r["round"], r["n"]) for r in counts)], k)
         more = with_ranks(spark, plan, query, codes, first, None if stop is None else first + ROUND * stop)
