@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines, n_chars counted anew. A document that has lost all its lines stays, empty."""
     total, removed = fresh(docs, "total", "removed")
-    out = lines.dedup_lines(docs, counts=(total, removed))
+    out = lines.dedup_lines(docs, counts=(total, removed), short=lines.SHORT_CHARS)
     if "n_chars" in docs.columns:
         n = F.when(F.col(removed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n)

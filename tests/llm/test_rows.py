@@ -232,6 +232,49 @@ def test_line_recall(spark):
     assert all(np.mean(v) >= 0.9 for v in found.values()), {k: np.mean(v) for k, v in found.items()}
 
 
+def test_short_lines_lose_no_link(spark):
+    """Short lines, of one word or more, against brute force over all pairs; longer ones without blanks."""
+    rng = random.Random(9)
+    texts = ["internationalisation committees", "internationalization committee", "somewhere over", "some where over", "café", "cafés", "naïve é", "naïve e"]
+    for n in (4, 5, 7, 10, 13, 16, 20, 24, 29, 32):
+        for _ in range(4):
+            whole = "".join(rng.choice("abcdefghij ") for _ in range(n)).strip() or "a"
+            texts.append(whole)
+            for _ in range(3):
+                copy = list(whole)
+                for _ in range(rng.randint(1, max(1, n // 5))):
+                    at, kind = rng.randrange(len(copy) + 1), rng.randrange(3)
+                    copy[at : at + (kind > 0)] = rng.choice("abcdefghij") if kind < 2 else ""
+                texts.append("".join(copy)[: lines.SHORT_CHARS].strip() or "b")
+    names = list(dict.fromkeys(texts))
+    root = {t: t for t in names}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if near(x, y):
+                root[find(x)] = find(y)
+    seen, want = set(), []
+    for t in texts:
+        want.append("" if find(t) in seen else t)
+        seen.add(find(t))
+    long = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(120))
+    texts += [long, long[:60] + "-" + long[61:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r["text"] for r in lines.dedup_lines(df, short=lines.SHORT_CHARS).orderBy("doc_id").collect()]
+    assert got == [*want, long, ""] and sum(t == "" for t in want) > 60
+
+
+def test_levels_overlap_by_the_similarity():
+    """Lines of which the shorter has 0.8 of the longer's words have a level in common."""
+    own = {n: {v for v, (a, z) in lines.bounds().items() if a <= n <= z} for n in range(4, 400)}
+    assert all(own[m] & own[n] for n in own for m in own if lines.SIMILARITY * n <= m < n)
+
+
 def test_lines_with_tabs_and_returns(spark):
     df = spark.createDataFrame([(1, "Some line of text\r\n\tother\twords here "), (2, "some line of text\nother words here\x0b")], "doc_id long, text string")
     assert [r["text"] for r in lines.dedup_lines(df).orderBy("doc_id").collect()] == ["Some line of text\r\n\tother\twords here ", ""]
