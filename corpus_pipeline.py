@@ -37,8 +37,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one with the smallest doc_id.
 
-    Documents link at a Jaccard similarity of five-word shingles of 0.8 or more; MinHash bands give the candidates. A null
-    doc_id stays only where the component has no other.
+    Documents link at a Jaccard similarity of five-word shingles of 0.8 or more; SimHash with ball hashing gives the
+    candidates, MinHash bands those beyond its radius. A null doc_id stays only where the component has no other.
     """
     groups = jaccard.similar_groups(docs, width=5)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()

@@ -435,6 +435,30 @@ def test_near_stage_recall(spark):
     assert 30 <= len(near) < 60 and got == {i for i, _ in rows} - near
 
 
+def test_near_stage_hashes_balls(spark):
+    """Fingerprints within 3 bits, and chains of them, share a key whatever the bands say; others don't."""
+    from vexel.llm import jaccard
+
+    rng = random.Random(10)
+    fps, family = [], []
+    for k in range(20):
+        fp = rng.getrandbits(64)
+        for step in range(3):
+            fps.append(fp - (1 << 64) if fp >> 63 else fp)
+            family.append(k)
+            for bit in rng.sample(range(64), 1 + (k + step) % 3):
+                fp ^= 1 << bit
+    rows = [((i, -i), fp) for i, fp in enumerate(fps)]
+    got = {r["node"]["k1"]: r["key"] for r in jaccard.balls(spark.createDataFrame(rows, f"node {jaccard.NODE}, fp bigint")).collect()}
+    assert len(got) == 60 and len(set(got.values())) == 20 and len({(family[i], key) for i, key in got.items()}) == 20
+    words = data.sentence(rng, 3000).split()
+    texts = [" ".join(words), " ".join([*words, "more"]), data.sentence(rng, 300)]
+    df = spark.createDataFrame([((i, i), t) for i, t in enumerate(texts)], f"node {jaccard.NODE}, text string")
+    signatures = common.stored(jaccard.signed(df, 5))
+    keys = {r["node"]["k1"]: r["key"] for r in jaccard.balls(signatures).collect()}
+    assert keys[0] == keys[1] != keys[2]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,8 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands give candidates, the shingles themselves decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash with ball hashing gives candidates, MinHash bands those
+beyond its radius, the shingles themselves decide.
 
-A text's signature has ``BANDS`` keys, each of ``ROWS`` minima; texts that share a key are candidates. At a similarity of
-0.8 a pair shares no key once in some 14000 times. Every candidate pair is compared or already in one component: first
-each key's texts with its least one, then all pairs that this has not put into one component.
+Texts are candidates whose fingerprints over the same shingles are connected by steps of 3 bits at most, found by
+meet-in-the-middle ball hashing (``simhash.py``). That radius meets hardly a pair at a similarity of 0.8, so a text has
+``BANDS`` keys beside, each of ``ROWS`` minima; texts that share a key are candidates as well. At a similarity of 0.8 a pair
+shares no key once in some 14000 times. Every candidate pair is compared or already in one component: first each key's texts
+with its least one, then all pairs that this has not put into one component.
 
 Defined cases: null text counts as empty; texts without words are alike; null doc_ids never name a component unless it has
 no other; an empty table gives an empty result; other columns are ignored.
@@ -16,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import cut, doc_text, slots, stored, text_chunks
+from vexel.llm.common import cut, discard, doc_text, slots, stored, text_chunks
 from vexel.llm.graph import connected_components
-from vexel.llm.simhash import SEED, shingles
+from vexel.llm.simhash import SEED, components, fingerprints_of, shingles
 
 SIMILARITY = 0.8
 BANDS = 24
@@ -47,15 +50,25 @@ def band_keys(found):
     return np.array([xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)], np.uint64).view(np.int64)
 
 
-def banded(texts: DataFrame, width: int) -> DataFrame:
-    """key, node from texts (node, text)."""
+def signed(texts: DataFrame, width: int) -> DataFrame:
+    """node, fp, keys (of the bands) from texts (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in text_chunks(batches):
-            keys = [band_keys(hashes(t, width)).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            found = batch.column("text").to_pylist()
+            fps = fingerprints_of([t.encode() for t in found], width).view(np.int64)
+            keys = [band_keys(hashes(t, width)).tolist() for t in found]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["node", "fp", "keys"])
+
+    return texts.select("node", "text").mapInArrow(run, f"node {NODE}, fp bigint, keys array<bigint>")
+
 
-    return texts.select("node", "text").mapInArrow(run, f"node {NODE}, keys array<bigint>").select("node", F.explode("keys").alias("key"))
+def balls(signatures: DataFrame) -> DataFrame:
+    """key, node from signatures (node, fp): one key for all nodes whose fingerprints ball hashing connects."""
+    connected = components(signatures.select(F.col("node").alias("doc_id"), "fp"))
+    return signatures.join(connected, "fp").select(F.xxhash64(F.lit(BANDS), "component_id").alias("key"), "node")
 
 
 def alike(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -82,7 +95,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = SIMILARI
     node = F.struct(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     rows = doc_text(docs).select("doc_id", node.alias("node"), "text")
     texts = rows.groupBy("node").agg(F.first("text").alias("text"))
-    keyed = stored(banded(texts, width))
+    signatures = stored(signed(texts, width))
+    keyed = stored(balls(signatures).union(signatures.select(F.explode("keys").alias("key"), "node")))
+    discard(signatures)
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1").select("key", "low")
     members = stored(keyed.join(groups, "key"))
     star = members.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
