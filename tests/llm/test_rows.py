@@ -269,6 +269,36 @@ def test_short_lines_lose_no_link(spark):
     assert got == [*want, long, ""] and sum(t == "" for t in want) > 60
 
 
+def test_short_lines_make_few_pairs(spark, monkeypatch):
+    """Short lines of the same syllables share pieces all over; of their pairs, few are compared, and none that is alike is lost."""
+    rng = random.Random(11)
+    syllables = [data.sentence(rng, 1, "abcdefghijklmnop")[:3] for _ in range(40)]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(5))[:32].strip() for _ in range(160)]
+    texts += [t[:k] + rng.choice("xyz") + t[k + 1 :] for t in texts[:40] for k in (rng.randrange(len(t)),)]
+    names = list(dict.fromkeys(texts))
+    root = {t: t for t in names}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if abs(len(x) - len(y)) <= 6 and near(x, y):
+                root[find(x)] = find(y)
+    seen, want = set(), []
+    for t in texts:
+        want.append("" if find(t) in seen else t)
+        seen.add(find(t))
+    compared, verified = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda texts, pairs, similarity: compared.append(pairs.count()) or verified(texts, pairs, similarity))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r["text"] for r in lines.dedup_lines(df, short=lines.SHORT_CHARS).orderBy("doc_id").collect()]
+    assert got == want and 30 < sum(t == "" for t in want) < 100
+    assert compared[1] < len(names) * (len(names) - 1) // 2 // 100, compared
+
+
 def test_levels_overlap_by_the_similarity():
     """Lines of which the shorter has 0.8 of the longer's words have a level in common."""
     own = {n: {v for v, (a, z) in lines.bounds().items() if a <= n <= z} for n in range(4, 400)}
