@@ -299,6 +299,36 @@ def test_short_lines_make_few_pairs(spark, monkeypatch):
     assert compared[1] < len(names) * (len(names) - 1) // 2 // 100, compared
 
 
+def test_lines_that_share_their_first_hash(spark, monkeypatch):
+    """Two hashes tell lines where the first alone doesn't."""
+    df = spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "k1 long, k2 long")
+    assert not lines.told_by_first(df) and lines.told_by_first(df.where("k2 = 2"))
+    rng = random.Random(12)
+    texts = [data.sentence(rng, n) for n in (3, 6, 12, 30, 60) for _ in range(4)]
+    texts += [changed(rng, t.split(), 1) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    one = lines.dedup_lines(df, short=lines.SHORT_CHARS).orderBy("doc_id").collect()
+    monkeypatch.setattr(lines, "told_by_first", lambda rows: False)
+    assert lines.dedup_lines(df, short=lines.SHORT_CHARS).orderBy("doc_id").collect() == one and any(r["text"] == "" for r in one)
+
+
+def test_chunks_bound_the_distance(spark, monkeypatch):
+    """Long lines with words put in, left out and replaced are settled by chunks, and never against the distance in characters."""
+    rng = random.Random(13)
+    pairs = []
+    for k in range(120):
+        words = data.sentence(rng, rng.randint(20, 40), "abé").split()
+        copy = [w for w in words if rng.random() > 0.002 * k]
+        copy = " ".join(data.sentence(rng, 1, "xyz") if rng.random() < 0.002 * k else w for w in [*copy[:3], "put in", *copy[3:]])
+        pairs.append((" ".join(words), copy, int(0.2 * max(len(copy), len(" ".join(words))))))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string, most int")
+    want = {i for i, (x, y, m) in enumerate(pairs) if levenshtein(x, y) <= m}
+    assert {r["i"] for r in lines.alike(df).collect()} == want and 20 < len(want) < 110
+    chunked = df.select("i", "most", lines.coded(F.col("x"), F.col("y")).alias("c")).where("c IS NOT NULL")
+    settled = {r["i"] for r in chunked.where(F.levenshtein("c.x", "c.y") <= F.floor(F.col("most") / (lines.CHUNK + 1))).collect()}
+    assert settled <= want and len(settled) > len(want) // 2
+
+
 def test_levels_overlap_by_the_similarity():
     """Lines of which the shorter has 0.8 of the longer's words have a level in common."""
     own = {n: {v for v, (a, z) in lines.bounds().items() if a <= n <= z} for n in range(4, 400)}
