@@ -181,6 +181,15 @@ def test_line_blocks(spark):
     assert len({r["key"] for r in got}) == len(set(want)) + 1
 
 
+def test_line_plans_do_no_work_twice(spark):
+    """A line is normalised once, and no array is made anew, or by lambdas, where it is exploded."""
+    df = spark.createDataFrame([(1, "a line"), (2, " \t\r\n\x0b\x0c ")], "doc_id long, text string")
+    assert [(r["doc"], r["norm"]) for r in lines.exploded(df).collect()] == [(1, "a line")]
+    assert sum("lower(" in p for p in lines.exploded(df)._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 1
+    plan = lines.blocks(df, lines.SHORT_CHARS)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [p for p in plan if ("Generate" in p or "Filter" in p) and "lambda" in p]
+
+
 def test_lines_against_brute_force(spark):
     """Families of far more than 32 variants, equal words in other orders, short lines: every candidate's links count."""
     rng = random.Random(1)
