@@ -224,6 +224,26 @@ def test_window_ranks_as_driver(engine, vectors, monkeypatch):
         engine.drop_index("i")
 
 
+@pytest.mark.parametrize("ranked_on_driver", [50_000, 0])
+def test_few_passing_rows_go_without_a_scan_of_all_ranks(engine, vectors, monkeypatch, ranked_on_driver):
+    """Few passing rows: the rows found are those of the rounds, and no other row group's clusters are ranked."""
+    engine.create_index("i", "t", "emb", quantization="f32", n_probe=1, **SMALL)
+    monkeypatch.setattr("vexel.operators.search.RANKED_ON_DRIVER", ranked_on_driver)
+    cases = [(where, k, n, offset) for where in ("id < 3", "id < 60", "grp = 1 AND id > 300") for k, n, offset in ((20, 1, 0), (5, 3, 2), (500, 1, 0), (20, 0, 0))] + [("grp = 1", 20, 480, 0), ("id < 0", 3, 1, 0)]
+
+    def found():
+        return [ids(engine.search("t", "emb", vectors[8], k, where=where, n_probe=n, offset=offset)) for where, k, n, offset in cases]
+
+    try:
+        with monkeypatch.context() as m:
+            m.setattr("vexel.operators.search.COLLECTED", -1)
+            want = found()
+        monkeypatch.setattr("vexel.operators.search.with_ranks", None)
+        assert found() == want and any(want)
+    finally:
+        engine.drop_index("i")
+
+
 def test_sql_search(engine, vectors):
     engine.create_index("i", "t", "emb", quantization="f32", n_probe=1, **SMALL)
     try:

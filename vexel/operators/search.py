@@ -3,7 +3,8 @@
 Unfiltered: the nearest ``n_probe`` clusters of every row group are read, each partition keeps its k best, and a global
 limit merges them. Filtered: the first round probes ``n_probe`` clusters of every row group, which mostly meets k rows that
 pass, and then nothing else is read. Where it doesn't, each further round probes five more; the round in which k rows are
-met follows from counts of the remaining clusters, so that one more job counts and one more searches. The ids found, k and
+met follows from counts of the remaining clusters, so that one more job counts and one more searches. Where few rows pass,
+their ids are taken first, and only their codes and the centroids of their row groups are read. The ids found, k and
 the offset at most, go to the table's scan as a filter, and its rows are ordered by exact distance.
 
 Vectors that are NULL or hold NULL components are never found.
@@ -11,6 +12,7 @@ Vectors that are NULL or hold NULL components are never found.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -190,10 +192,12 @@ def ranked_on_driver(spark: SparkSession, plan: SearchPlan, query: np.ndarray) -
     return rows[["row_group_id", "cluster_id", "rank"]]
 
 
-def ranked(spark: SparkSession, plan: SearchPlan, query: np.ndarray) -> DataFrame:
-    """The same as a distributed window, for indexes of any size."""
+def ranked(spark: SparkSession, plan: SearchPlan, query: np.ndarray, groups: list[int] | None = None) -> DataFrame:
+    """The same as a distributed window, for indexes of any size; of these row groups alone if they are given."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    measured = spark.read.parquet(f"{plan.path}/centroids").withColumn("d", BY_METRIC["l2sq"](F.col("centroid"), q))
+    centroids = spark.read.parquet(f"{plan.path}/centroids")
+    centroids = centroids if groups is None else centroids.where(among("row_group_id", groups))
+    measured = centroids.withColumn("d", BY_METRIC["l2sq"](F.col("centroid"), q))
     order = Window.partitionBy("row_group_id").orderBy("d", "cluster_id")
     return measured.select("row_group_id", "cluster_id", (F.row_number().over(order) - 1).cast("long").alias("rank"))
 
@@ -260,6 +264,22 @@ def last_round(counts: list[tuple[int, int]], k: int) -> int | None:
     return None
 
 
+def ranks_of(spark: SparkSession, plan: SearchPlan, query: np.ndarray, codes: DataFrame, ids: list[int]) -> list[tuple[int, int]]:
+    """(id, rank of its cluster in its row group) of a few indexed rows; no other row group's centroids are ranked."""
+    held = codes.where(among("row_id", ids)).select("row_group_id", "cluster_id", "row_id")
+    places = [(r["row_group_id"], r["cluster_id"], r["row_id"]) for r in held.collect()]
+    groups = sorted({g for g, _, _ in places})
+    if plan.index["clusters"] > RANKED_ON_DRIVER:
+        pairs = F.broadcast(spark.createDataFrame(sorted({(g, c) for g, c, _ in places}), "row_group_id long, cluster_id int"))
+        rows = ranked(spark, plan, query, groups).join(pairs, ["row_group_id", "cluster_id"], "left_semi").collect() if places else []
+        ranks = {(r["row_group_id"], r["cluster_id"]): r["rank"] for r in rows}
+    else:
+        rows = ranked_on_driver(spark, plan, query)
+        rows = rows[rows["row_group_id"].isin(groups)]
+        ranks = dict(zip(zip(rows["row_group_id"].tolist(), rows["cluster_id"].tolist()), rows["rank"].tolist()))
+    return [(i, ranks[g, c]) for g, c, i in places]
+
+
 def indexed(plan: SearchPlan) -> DataFrame:
     spark = plan.table.sparkSession
     meta = plan.index
@@ -274,13 +294,27 @@ def indexed(plan: SearchPlan) -> DataFrame:
         top = found.select("row_id", "q_base", "q_scale", "code").mapInArrow(code_top(query, u8, k), "row_id long, distance double")
         return top.orderBy("distance", "row_id").limit(k).collect()
 
-    probed = codes if every else with_ranks(spark, plan, query, codes, 0, first)
+    def probed() -> DataFrame:
+        return codes if every else with_ranks(spark, plan, query, codes, 0, first)
+
     if plan.predicate is None:
-        return fetched(plan, [r["row_id"] for r in best(probed)])
-    passing = plan.table.where(plan.predicate).select(F.col(plan.key).cast("long").alias("row_id"))
+        return fetched(plan, [r["row_id"] for r in best(probed())])
+    passing = plan.table.where(plan.predicate).where(F.col(plan.vector).isNotNull()).select(F.col(plan.key).cast("long").alias("row_id"))
+    # in one job, where collect() would try one partition, then four more, and so on
+    ids = passing.limit(COLLECTED + 1).agg(F.collect_list("row_id").alias("ids")).first()["ids"]
+    if len(ids) <= COLLECTED:
+        # rounds go on until k rows are met, so where no more pass, all are
+        if len(ids) > k or not every and first >= MOST_CLUSTERS:
+            ranks = ranks_of(spark, plan, query, codes, ids)
+            if not every:
+                counts = Counter(max(0, 1 + (rank - first) // ROUND) for _, rank in ranks)
+                stop = 0 if first >= MOST_CLUSTERS else last_round(list(counts.items()), k)
+                ranks = ranks if stop is None else [(i, rank) for i, rank in ranks if rank < first + ROUND * stop]
+            ids = [i for i, _ in ranks]
+        return fetched(plan, ids if len(ids) <= k else [r["row_id"] for r in best(codes.where(among("row_id", ids)))])
     if passing.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         passing = F.broadcast(passing)
-    met = best(probed.join(passing, "row_id", "left_semi"))
+    met = best(probed().join(passing, "row_id", "left_semi"))
     if len(met) < k and not every and first < MOST_CLUSTERS:
         rest = with_ranks(spark, plan, query, codes, first, None, named=True).withColumn("round", 1 + F.floor((F.col("rank") - first) / ROUND))
         counts = rest.select("row_id", "round").join(passing, "row_id", "left_semi").groupBy("round").agg(F.count(F.lit(1)).alias("n")).collect()
