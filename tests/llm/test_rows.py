@@ -308,6 +308,23 @@ def test_short_lines_make_few_pairs(spark, monkeypatch):
     assert compared[1] < len(names) * (len(names) - 1) // 2 // 100, compared
 
 
+def test_line_tables_stay_small(spark, tmp_path, monkeypatch):
+    """Exchanges of text have partitions by the table's size, and unlike short lines under one key are not written as pairs."""
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(common, "SPREAD_BYTES", 5000)
+    docs, before = spark.read.parquet(str(tmp_path / "docs")), spark.conf.get("spark.sql.shuffle.partitions")
+    assert common.spread(docs) > 20 and common.spread(data.empty(spark)) == int(before)
+    assert common.stored(docs.groupBy(F.spark_partition_id().alias("p")).count(), 50).count() > 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    asked = []
+    monkeypatch.setattr(lines, "stored", lambda df, *more: asked.append(more) or common.stored(df, *more))
+    lines.dedup_lines(docs)
+    assert asked[0] == (common.spread(docs),)
+    texts = lines.marked(spark.createDataFrame([(1, "abcdefghij"), (2, "abcxyzghij"), (3, "abcdefghxy"), (4, "abcdefghij" * 9), (5, "abcdefghij" * 8 + "k" * 10)], "node long, norm string"))
+    placed = spark.createDataFrame([(7, i, True, i) for i in range(1, 6)], "key long, node long, own boolean, root long")
+    assert {(r["u"], r["v"]) for r in lines.pairs_apart(placed, texts).collect()} == {(1, 3), (4, 5)}
+
+
 def test_lines_that_share_their_first_hash(spark, monkeypatch):
     """Two hashes tell lines where the first alone doesn't."""
     df = spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "k1 long, k2 long")
