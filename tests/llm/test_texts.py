@@ -142,6 +142,17 @@ def test_suffix(spark):
     assert sorted(tuple(r) for r in suffix.removal_digests(df).collect()) == want
 
 
+def test_suffix_buckets_by_size(spark, tmp_path, monkeypatch):
+    """A larger table has more buckets of triggers, none of which grows with it, and the same passages go."""
+    data.frame(spark).repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs, used, parse = spark.read.parquet(str(tmp_path / "docs")), [], suffix.parse
+    monkeypatch.setattr(suffix, "parse", lambda buckets: used.append(buckets) or parse(buckets))
+    few = sorted(map(str, suffix.removal_digests(docs).collect()))
+    monkeypatch.setattr("vexel.llm.common.SPREAD_BYTES", 10_000)
+    assert sorted(map(str, suffix.removal_digests(docs).collect())) == few
+    assert used[1] > 2 * used[0] > 0
+
+
 def test_suffix_takes_odd_rows(spark):
     got = suffix.removal_digests(data.frame(spark)).collect()
     assert len(got) == len(data.rows())

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vexel.llm.common import column_buffers, slots, stored, text_chunks
+from vexel.llm.common import column_buffers, spread, stored, text_chunks
 
 LENGTH = 100
 GRAM = 32
@@ -43,6 +43,8 @@ BLOCK = 1 << 20
 PLACE = 24
 #: Bytes of dictionary that are ordered at once, unless one trigger alone has more.
 DICTIONARY = 4 << 20
+#: Buckets of triggers for each partition, which is resolved bucket by bucket, and bytes of packed phrases that go to Python at once.
+BUCKETS, PACKED = 2, 4 << 20
 LAST = (1 << 63) - 1
 
 
@@ -307,10 +309,12 @@ def covered_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: doc_id, doc, th, text; windows: doc, th, lo, count), the windows that also start earlier."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "th": F.xxhash64("text")})
-    buckets = slots(docs.sparkSession)
+    # by the table's size, so that neither a bucket nor a partition grows with it
+    partitions = spread(docs)
+    buckets = BUCKETS * partitions
     packed = texts.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text").mapInArrow(parse(buckets), "bucket long, docs binary, rows binary")
-    phrases = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "kind int, key long, doc long, th long, lo int, count int")
-    phrases = stored(phrases)
+    phrases = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "kind int, key long, doc long, th long, lo int, count int")
+    phrases = stored(phrases, batch_bytes=PACKED)
     wanted = phrases.where("kind = 1").groupBy("doc", "th").agg(F.collect_set(F.struct("key", "lo", "count")).alias("phrases"))
     once = texts.select("doc", "th", "text").join(wanted, ["doc", "th"])
     dictionary = once.mapInArrow(fetch, "key long, doc long, th long, lo int, count int, bytes binary")
