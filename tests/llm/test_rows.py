@@ -325,6 +325,20 @@ def test_line_tables_stay_small(spark, tmp_path, monkeypatch):
     assert {(r["u"], r["v"]) for r in lines.pairs_apart(placed, texts).collect()} == {(1, 3), (4, 5)}
 
 
+def test_lines_compare_no_pair_twice(spark, monkeypatch):
+    """A line is compared with one other first, no pair is compared again, and a text is hashed once, not with each line."""
+    plan = lines.exploded(spark.createDataFrame([(1, "a line")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert [p for p in plan if "Generate" in p or "xxhash64(text" in p][0].lstrip(" +-:").startswith("Generate")
+    rng = random.Random(21)
+    base = data.sentence(rng, 40).split()
+    texts = [" ".join(base)] + [changed(rng, base, n % 9 + 1) for n in range(60)]
+    compared, verified = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda texts, pairs, similarity: compared.append([(r["u"], r["v"]) for r in pairs.collect()]) or verified(texts, pairs, similarity))
+    lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first, every = [v for _, v in compared[0]], [p for pairs in compared for p in pairs]
+    assert 20 < len(first) == len(set(first)) and len(every) == len(set(every))
+
+
 def test_lines_that_share_their_first_hash(spark, monkeypatch):
     """Two hashes tell lines where the first alone doesn't."""
     df = spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "k1 long, k2 long")
